@@ -66,10 +66,11 @@ def upper_first(c: Column | str) -> Column:
 
 def clean_lines(c: Column | str, boilerplate: list[str] | None = None) -> Column:
     """Lines trimmed; blank ones, those of dots and those matching a pattern of `boilerplate` left out."""
-    lines = F.transform(F.split(squeeze_lines(c), "\n"), F.trim)
+    lines = F.transform(F.split(squeeze_lines(c), "\n"), lambda x: F.trim(x))
     keep = F.filter(lines, lambda x: (x != "") & ~x.rlike(r"^\.{3,}$"))
-    for p in boilerplate or []:
-        keep = F.filter(keep, lambda x, p=p: ~x.rlike(p))
+    if boilerplate:
+        any_of = "|".join(f"(?:{p})" for p in boilerplate)
+        keep = F.filter(keep, lambda x: ~x.rlike(any_of))
     return F.array_join(keep, "\n")
 
 
