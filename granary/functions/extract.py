@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from granary.functions.text import TYPE_ALTERNATION, col, squeeze, strip_edges
+from granary.functions.text import TYPE_ALTERNATION, col, let, squeeze, strip_edges
 
 #: What a document number looks like.
-LAW_ID = r"(?i)(\d{1,4}/(?:\d{4}/)?(?:QH\d+|NĐ-CP|ND-CP|TT-[A-ZĐ]+|QĐ-[A-ZĐ]+|QD-[A-ZĐ]+|VBHN-[A-ZĐ]+|NQ-[A-ZĐ]+|CP|TTLT-[A-ZĐ-]+|PL-UBTVQH\d+|UBTVQH\d+))"
+LAW_ID = r"(?iu)(\d{1,4}/(?:\d{4}/)?(?:QH\d+|NĐ-CP|ND-CP|TT-[A-ZĐ]+|QĐ-[A-ZĐ]+|QD-[A-ZĐ]+|VBHN-[A-ZĐ]+|NQ-[A-ZĐ]+|CP|TTLT-[A-ZĐ-]+|PL-UBTVQH\d+|UBTVQH\d+))"
 #: A document number of the wider form number/year/sign.
 ANY_NUMBER = r"(\d{1,4}/\d{4}/[A-ZĐ]{1,4}-[A-ZĐ]+\d*)"
-ARTICLE = r"(?i)Điều\s+([0-9]+(?:\.[0-9A-Za-zĐđ]+)*)"
+ARTICLE = r"(?iu)Điều\s+([0-9]+(?:\.[0-9A-Za-zĐđ]+)*)"
 
 
 def all_matches(c: Column | str, pattern: str, group: int = 1) -> Column:
@@ -61,19 +61,29 @@ def citation_confidence(c: Column | str, ids: Column, titles: Column) -> Column:
 
 def source_note(c: Column | str) -> Column:
     """struct(law_type, law_code, doc_title, article_no) of a note that names its source."""
-    t = F.regexp_replace(F.trim(squeeze(c), F.lit("() ")), r"\s*/\s*", "/")
-    code = F.regexp_extract(t, LAW_ID, 1)
-    at = F.when(code != "", F.instr(t, code)).otherwise(F.lit(0))
-    head = F.substr(t, F.lit(1), F.greatest(at - 1, F.lit(0)))
-    word = rf"(?i)(?<![\p{{L}}\p{{N}}_])({TYPE_ALTERNATION})(?![\p{{L}}\p{{N}}_])"
-    kind = F.coalesce(F.try_element_at(F.regexp_extract_all(head, F.lit(word), F.lit(1)), F.lit(-1)), F.lit(""))
-    tail = F.substr(t, at + F.length(code))
-    stop = F.regexp_instr(tail, F.lit(r"(?i),\s*(có hiệu lực|hết hiệu lực|được sửa đổi|được bổ sung)|\s+ngày\s+\d{1,2}/\d{1,2}/\d{4}"))
-    tail = F.when(stop > 0, F.substr(tail, F.lit(1), stop - 1)).otherwise(tail)
-    from_kind = F.concat(kind, F.regexp_extract(head, rf"(?is)^.*(?<![\p{{L}}\p{{N}}_])({TYPE_ALTERNATION})(?![\p{{L}}\p{{N}}_])(.*)$", 2))
-    titled = F.when(kind != "", strip_edges(F.concat(from_kind, code, tail))).otherwise(F.lit(""))
-    rest = strip_edges(F.regexp_replace(t, r"(?i)^(.*?)" + ARTICLE[4:], "$1"))
-    return F.struct(squeeze(kind).alias("law_type"), F.upper(code).alias("law_code"), squeeze(F.when(titled != "", titled).otherwise(rest)).alias("doc_title"), article_number(t).alias("article_no"))
+    word = rf"(?<![\p{{L}}\p{{N}}_])({TYPE_ALTERNATION})(?![\p{{L}}\p{{N}}_])"
+    stop = r"(?iu),\s*(có hiệu lực|hết hiệu lực|được sửa đổi|được bổ sung)|\s+ngày\s+\d{1,2}/\d{1,2}/\d{4}"
+
+    def titled(t: Column, code: Column) -> Column:
+        at = F.instr(t, code)
+        sides = F.struct(F.substr(t, F.lit(1), at - 1).alias("head"), F.substr(t, at + F.length(code)).alias("tail"))
+
+        def with_sides(s: Column) -> Column:
+            # the last type before the number, and what stands between them
+            last = F.struct(F.regexp_extract(s["head"], rf"(?isu)^.*{word}(.*)$", 1).alias("kind"), F.regexp_extract(s["head"], rf"(?isu)^.*{word}(.*)$", 2).alias("between"))
+            tail = let(F.regexp_instr(s["tail"], F.lit(stop)), lambda i: F.when(i > 0, F.substr(s["tail"], F.lit(1), i - 1)).otherwise(s["tail"]))
+            return let(last, lambda k: F.struct(squeeze(k["kind"]).alias("kind"), F.when(k["kind"] != "", squeeze(strip_edges(F.concat(k["kind"], k["between"], code, tail)))).otherwise(F.lit("")).alias("title")))
+
+        return let(sides, with_sides)
+
+    def with_text(t: Column) -> Column:
+        code = F.regexp_extract(t, LAW_ID, 1)
+        none = F.struct(F.lit("").alias("kind"), F.lit("").alias("title"))
+        rest = squeeze(strip_edges(F.regexp_replace(t, r"(?iu)^(.*?)" + ARTICLE.removeprefix("(?iu)"), "$1")))
+        found = let(code, lambda x: F.struct(x.alias("code"), F.when(x != "", titled(t, x)).otherwise(none).alias("t")))
+        return let(found, lambda f: F.struct(f["t"]["kind"].alias("law_type"), F.upper(f["code"]).alias("law_code"), F.when(f["t"]["title"] != "", f["t"]["title"]).otherwise(rest).alias("doc_title"), article_number(t).alias("article_no")))
+
+    return let(F.regexp_replace(F.trim(squeeze(c), F.lit("() ")), r"\s*/\s*", "/"), with_text)
 
 
 def last_year(c: Column | str) -> Column:
@@ -85,8 +95,8 @@ def last_year(c: Column | str) -> Column:
 def date_parts(c: Column | str) -> Column:
     """struct(y, m, d) of the first d/m/y, d-m-y or `ngày d tháng m năm y`; zeros if there is none; days aren't checked."""
     t = squeeze(c)
-    a = r"(?i)(?<![\p{L}\p{N}_])(\d{1,2})[/-](\d{1,2})[/-]((?:19|20)\d{2})(?![\p{L}\p{N}_])"
-    b = r"(?i)(?<![\p{L}\p{N}_])ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+((?:19|20)\d{2})(?![\p{L}\p{N}_])"
+    a = r"(?iu)(?<![\p{L}\p{N}_])(\d{1,2})[/-](\d{1,2})[/-]((?:19|20)\d{2})(?![\p{L}\p{N}_])"
+    b = r"(?iu)(?<![\p{L}\p{N}_])ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+((?:19|20)\d{2})(?![\p{L}\p{N}_])"
     part = lambda i: F.coalesce(F.when(t.rlike(a), F.regexp_extract(t, a, i)).when(t.rlike(b), F.regexp_extract(t, b, i)).cast("int"), F.lit(0))
     return F.struct(part(3).alias("y"), part(2).alias("m"), part(1).alias("d"))
 

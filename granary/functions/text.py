@@ -20,6 +20,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def squeeze(c: Column | str) -> Column:
     """All white space to single spaces, ends trimmed; null becomes empty."""
     return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), f"{WHITE}+", " "))
@@ -110,16 +115,18 @@ def document_context(number: Column | str, title: Column | str) -> Column:
 
 
 #: Where a title goes over into a place inside the document.
-PLACE = r"(?i)(^|[.;])\s*((Phần|Chương|Mục|Tiểu mục)\s+[A-ZĐ\d]+(\.\d+)*|Phụ lục|Danh mục|Mẫu số)(?![\p{L}\p{N}_])"
+PLACE = r"(?iu)(^|[.;])\s*((Phần|Chương|Mục|Tiểu mục)\s+[A-ZĐ\d]+(\.\d+)*|Phụ lục|Danh mục|Mẫu số)(?![\p{L}\p{N}_])"
 
 
 def title_only(title: Column | str) -> Column:
     """A title without the place that follows it (a chapter, an annex, or what follows ` | `)."""
-    t = squeeze(title)
-    place = F.regexp_instr(t, F.lit(PLACE))
-    bar = F.instr(t, " | ")
-    at = F.least(F.when(place > 0, place), F.when(bar > 0, bar))
-    return F.when(at.isNull(), t).otherwise(strip_edges(F.substr(t, F.lit(1), at - 1), " .;:-|"))
+
+    def cut(t: Column) -> Column:
+        place, bar = F.regexp_instr(t, F.lit(PLACE)), F.instr(t, " | ")
+        at = F.least(F.when(place > 0, place), F.when(bar > 0, bar))
+        return let(at, lambda i: F.when(i.isNull(), t).otherwise(strip_edges(F.substr(t, F.lit(1), i - 1), " .;:-|")))
+
+    return let(squeeze(title), cut)
 
 
 def _without_type(title: Column, kind: Column) -> Column:
@@ -127,9 +134,12 @@ def _without_type(title: Column, kind: Column) -> Column:
     return F.when(starts, strip_edges(F.substr(title, F.length(kind) + 1))).otherwise(title)
 
 
-def _join_title(kind: Column, number: Column, title: Column, style: str) -> Column:
-    parts = [kind, number, title] if style == "numbered" else [kind, title]
-    return squeeze(F.concat_ws(" ", *parts))
+_TYPED = rf"(?iu)^({TYPE_ALTERNATION})(?![\p{{L}}\p{{N}}_])(.*)$"
+
+
+def _parts(x: Column) -> Column:
+    """struct(kind, name): the document type at the start and what follows."""
+    return F.struct(squeeze(F.regexp_extract(x, _TYPED, 1)).alias("kind"), strip_edges(F.regexp_extract(x, _TYPED, 2)).alias("name"))
 
 
 def citation_title(title: Column | str, number: Column | str, style: str = "plain") -> Column:
@@ -138,26 +148,40 @@ def citation_title(title: Column | str, number: Column | str, style: str = "plai
     A title of the form `kind số number name` is taken apart; otherwise the
     given number is looked for, and failing that the kind at the start.
     """
-    t, n = title_only(title), squeeze(number)
-    form = r"(?i)^(.+?)\s+số\s+(\S+)\s+(.+)$"
-    kind, code, name = (squeeze(F.regexp_extract(t, form, i)) for i in (1, 2, 3))
-    parted = _join_title(kind, code, _without_type(upper_first(title_only(name)), kind), style)
-    plain = squeeze(F.regexp_replace(t, r"(?i)(?<![\p{L}\p{N}_])số\s+", ""))
-    at = F.when(n != "", F.instr(plain, n)).otherwise(F.lit(0))
-    before = strip_edges(F.substr(plain, F.lit(1), F.greatest(at - 1, F.lit(0))))
-    after = _without_type(upper_first(title_only(strip_edges(F.substr(plain, at + F.length(n))))), before)
-    typed = rf"(?i)^({TYPE_ALTERNATION})(?![\p{{L}}\p{{N}}_])(.*)$"
-    split = lambda x: (squeeze(F.regexp_extract(x, typed, 1)), strip_edges(F.regexp_extract(x, typed, 2)))
-    a_kind, a_name = split(after)
-    p_kind, p_name = split(plain)
-    first, rest = F.split_part(plain, F.lit(" "), F.lit(1)), F.substr(plain, F.instr(plain, " ") + 1)
-    inside = (
-        F.when((before != "") & (after != ""), _join_title(before, n, after, style))
-        .when((after != "") & (a_kind != "") & (a_name != ""), _join_title(a_kind, n, upper_first(a_name), style))
-        .when((after != "") & F.lit(style == "plain"), after)
-    )
-    numbered = F.when((p_kind != "") & (p_name != ""), _join_title(p_kind, n, upper_first(p_name), style)).when(F.contains(plain, F.lit(" ")), _join_title(first, n, upper_first(rest), style))
-    out = F.when(t.rlike(form), parted).when(at > 0, F.coalesce(inside, plain))
-    if style == "numbered":
-        out = out.when(n != "", F.coalesce(numbered, plain))
-    return out.otherwise(plain)
+    numbered = style == "numbered"
+
+    def joined(kind: Column, n: Column, name: Column) -> Column:
+        return squeeze(F.concat_ws(" ", *([kind, n, name] if numbered else [kind, name])))
+
+    form = r"(?iu)^(.+?)\s+số\s+(\S+)\s+(.+)$"
+
+    def taken_apart(t: Column) -> Column:
+        p = F.struct(*(squeeze(F.regexp_extract(t, form, i)).alias(n) for i, n in ((1, "kind"), (2, "code"), (3, "name"))))
+        return let(p, lambda x: joined(x["kind"], x["code"], let(upper_first(title_only(x["name"])), lambda name: _without_type(name, x["kind"]))))
+
+    def typed(x: Column, n: Column, otherwise: Column) -> Column:
+        return let(_parts(x), lambda p: F.when((p["kind"] != "") & (p["name"] != ""), joined(p["kind"], n, upper_first(p["name"]))).otherwise(otherwise))
+
+    def around(plain: Column, n: Column) -> Column:
+        at = F.instr(plain, n)
+        sides = F.struct(strip_edges(F.substr(plain, F.lit(1), at - 1)).alias("before"), title_only(strip_edges(F.substr(plain, at + F.length(n)))).alias("after"))
+
+        def with_sides(s: Column) -> Column:
+            after = _without_type(upper_first(s["after"]), s["before"])
+            bare = lambda a: F.when(a == "", plain).otherwise(typed(a, n, plain if numbered else a))
+            return let(after, lambda a: F.when((s["before"] != "") & (a != ""), joined(s["before"], n, a)).otherwise(bare(a)))
+
+        return let(sides, with_sides)
+
+    def without_number(plain: Column, n: Column) -> Column:
+        if not numbered:
+            return plain
+        first, rest = F.split_part(plain, F.lit(" "), F.lit(1)), F.substr(plain, F.instr(plain, " ") + 1)
+        words = F.when(F.contains(plain, F.lit(" ")), joined(first, n, upper_first(rest))).otherwise(plain)
+        return F.when(n == "", plain).otherwise(typed(plain, n, words))
+
+    def by_number(t: Column) -> Column:
+        both = F.struct(squeeze(F.regexp_replace(t, r"(?iu)(?<![\p{L}\p{N}_])số\s+", "")).alias("plain"), squeeze(number).alias("n"))
+        return let(both, lambda b: F.when((b["n"] != "") & F.contains(b["plain"], b["n"]), around(b["plain"], b["n"])).otherwise(without_number(b["plain"], b["n"])))
+
+    return let(title_only(title), lambda t: F.when(t.rlike(form), taken_apart(t)).otherwise(by_number(t)))

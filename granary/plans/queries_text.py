@@ -32,7 +32,7 @@ def normalize_text(spark: SparkSession, d: str) -> DataFrame:
 
 def clean_content(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "doc_content").dropDuplicates(["id"])
-    out = T.clean_lines("content", [r"(?i)^Nguồn tin:"])
+    out = T.clean_lines("content", [r"(?iu)^Nguồn tin:"])
     return c.select("id", F.length(out).alias("n_chars"), F.md5(out).alias("digest"))
 
 
