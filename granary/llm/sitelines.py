@@ -166,7 +166,7 @@ def without_lines(content: DataFrame, found: DataFrame) -> DataFrame:
     Null contents stay null. Line ends stay as they were.
     """
     bad = found.groupBy("id").agg(F.collect_set("line_no").alias("bad"))
-    last = content.groupBy("id").agg(F.max_by(F.struct("source_site", "content"), F.col("crawled_at")).alias("r")).select("id", "r.*")
+    last = content.groupBy("id").agg(F.max_by(F.struct("source_site", "content"), F.struct("crawled_at")).alias("r")).select("id", "r.*")
     j = last.join(bad, "id", "left")
     kept = F.filter(F.split("content", "\n"), lambda x, i: ~F.array_contains("bad", i + 1))
     text = F.when(F.col("bad").isNull(), F.col("content")).otherwise(F.array_join(kept, "\n"))
