@@ -31,10 +31,11 @@ def csv_text(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 def json_lines(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """One JSON object a line, blank lines left out; `limit` counts lines of the file."""
-    lines = spark.read.text(path)
-    if limit is not None:
-        lines = lines.limit(limit)
-    return spark.read.json(lines.filter(F.trim("value") != "").select("value"))
+    if limit is None:
+        return spark.read.json(path)
+    schema = spark.read.json(path).schema
+    lines = spark.read.text(path).limit(limit).filter(F.trim("value") != "")
+    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def _field(df: DataFrame, keys: tuple[str, ...]):
