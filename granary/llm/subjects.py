@@ -31,7 +31,7 @@ LEAST_COUNT = 3
 LEAST_WORDS = 4
 LEAST_SENTENCES = 100
 SHARE = 0.25
-MAX_ACTS, MAX_DOCUMENTS = 500, 3000
+MAX_ACTS, MAX_DOCUMENTS = 400, 2400
 MAX_CHARS = 1 << 26
 
 #: The subject area each sector code is filed under.

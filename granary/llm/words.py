@@ -69,8 +69,10 @@ def _entry(c: int) -> tuple[int, int, int, bool]:
     kinds = [unicodedata.category(p)[0] for p in parts]
     if not any(k in "LMN" for k in kinds):
         return SEPARATOR, 0, 0, False
-    each = [_scalar(ord(p) | (k == "M") << 21 | (i > 0 and k != "M") << (22 + i)) for i, (p, k) in enumerate(zip(parts, kinds))]
-    bare_value = sum(v for v, k, p in zip(each, kinds, parts) if k != "M")
+    # a sign that stands for several letters carries their places in its value
+    place = np.cumsum([k != "M" for k in kinds]) - 1
+    each = [_scalar(ord(p) | (k == "M") << 21) * pow(PRIME, max(0, int(i)), 1 << 64) for i, p, k in zip(place, parts, kinds)]
+    bare_value = sum(v for v, k in zip(each, kinds) if k != "M")
     return (MARK if kinds[0] == "M" else BASE), sum(each) & MASK, bare_value & MASK, kinds[0] == "N"
 
 
