@@ -20,6 +20,7 @@ DEFAULTS = {
 }
 
 _scratch: list[str] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def build_session(app: str = "granary", master: str | None = None, **conf: str) -> SparkSession:
@@ -57,10 +58,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     feeds more than one later stage and is dearer to recompute than to store.
     """
     spark = df.sparkSession
+    if not _tables:
+        atexit.register(release)
     path = f"{shared_dir(spark)}/granary-{name}-{uuid.uuid4().hex[:12]}"
+    _tables.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Deletes the tables that `written` has made so far; call it once no result that reads them is needed any more.
+
+    It also runs when Python ends.
+    """
+    while _tables:
+        spark, path = _tables.pop()
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session may have ended; nothing is left to do then
+            pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
