@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import squeeze
+from granary.session import plain_unions
 
 
 def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -16,6 +17,7 @@ def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Rows of both by key; the new ones win."""
+    plain_unions(old.sparkSession)
     both = old.withColumn("gen_", F.lit(0)).unionByName(new.withColumn("gen_", F.lit(1)), allowMissingColumns=True)
     return latest(both, key, [F.col("gen_").desc()]).drop("gen_")
 

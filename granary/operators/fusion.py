@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import terms
+from granary.session import plain_unions
 
 RRF_K = 60
 
@@ -18,6 +19,7 @@ def rrf(branches: dict[str, DataFrame], limit: int, weights: dict[str, float] |
     last), then by the id as text.
     """
     weights = weights or {}
+    plain_unions(next(iter(branches.values())).sparkSession)
     parts = [df.select("qid", "id", "score", "rank", F.lit(name).alias("branch"), F.lit(float(weights.get(name, 1.0))).alias("w")) for name, df in branches.items()]
     both = parts[0]
     for p in parts[1:]:

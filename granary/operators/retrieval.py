@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import terms
+from granary.session import plain_unions
 
 QUERY_BYTES = 256 << 20
 BLOCK = 2048
@@ -50,6 +51,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, keep_self: bool
     n = sample.n
     rows = max(1, QUERY_BYTES // (8 * n))
     total = queries.count()
+    plain_unions(vectors.sparkSession)
     cols = ["id", "embedding"] + ([same] if same else [])
     q_cols = ["qid", "embedding"] + ([same] if same else [])
     parts = -(-total // rows)
