@@ -28,12 +28,16 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.without_lines(c, sitelines.site_lines(c)[0])
 
 
-def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_items(pieces.oversized_items(*(table(spark, d, t) for t in ("chunks", "doc_content", "tree_nodes"))))
 
 
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d).distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_pieces(spark, d).select("item_kind", "item_key").distinct()
+    return _pieces(spark, d).select("item_kind", "item_key").distinct()
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

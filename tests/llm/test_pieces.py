@@ -33,5 +33,5 @@ def test_split_items(spark):
     df = spark.createDataFrame(rows, "item_kind string, item_key string, text string")
     got = split_items(df).collect()
     assert {(r.item_kind, r.item_key) for r in got} == {("content", "2"), ("block", "n/1")}
-    assert sum(r.item_key == "2" for r in got) == 2 and all(len(r.piece) == r.end_at - r.start_at <= 3000 for r in got)
+    assert sum(r.item_key == "2" for r in got) == 4 and split_items(df).distinct().filter("item_key = '2'").count() == 2 and all(len(r.piece) == r.end_at - r.start_at <= 3000 for r in got)
     assert split_items(df.limit(0)).count() == 0
