@@ -95,5 +95,13 @@ ORACLE_SQL = {
         WITH x AS (SELECT doc_id, text, {_ARTICLES} AS a, {_ALLOWED} AS ok FROM documents), y AS (SELECT *, list_filter(a, lambda v, i: list_position(a, v) = i AND NOT list_contains(ok, v)) AS bad FROM x)
         SELECT doc_id, array_to_string(bad, ';') AS disallowed, {S.squeeze('text')} = '' OR len(bad) > 0 OR NOT list_has_any(a, ok) AS again FROM y
     """,
+    "qa_contexts": f"""
+        WITH c AS ({CHUNKS}), h AS (SELECT * FROM ({_HITS})), j AS (SELECT h.qid, h.rank, c.text, {_REF} AS ref FROM h JOIN c ON c.chunk_id = h.id JOIN ({META}) m ON m.id = c.document_id),
+        r AS (SELECT qid, ref, min(rank) AS p FROM j WHERE ref <> '' GROUP BY qid, ref), a AS (SELECT qid, string_agg(ref, chr(10) ORDER BY p, ref) AS articles, list(split_part(ref, '|', -1) ORDER BY p, ref) AS parts FROM r GROUP BY qid),
+        w AS (SELECT qid, text, 6000 - coalesce(sum(length(text) + 4) OVER (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rem FROM j WHERE trim(text) <> ''),
+        n AS (SELECT qid, count(*) AS n FROM w WHERE rem > 0 AND (length(text) <= rem OR rem >= 200) GROUP BY qid),
+        x AS (SELECT q.qid, coalesce(articles, '') AS articles, coalesce(list_filter(parts, lambda v, i: list_position(parts, v) = i AND starts_with(v, 'Điều ')), []) AS ok, n FROM (SELECT DISTINCT qid FROM j) q LEFT JOIN a USING (qid) LEFT JOIN n USING (qid))
+        SELECT qid, articles, array_to_string(ok, ';') AS allowed, CAST(coalesce(n, -1) AS INTEGER) AS n_contexts, CASE WHEN len(ok) > 0 THEN {S.q(qa.FALLBACK)} || array_to_string(ok, '; ') || '.' ELSE {S.q(qa.NOT_FOUND)} END AS answer FROM x
+    """,
     "stream_ingest": "SELECT doc_id, source, n_chars FROM documents",
 }
