@@ -114,7 +114,24 @@ def p10_makeup(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_forms, p6_budget, p7_found, p7_clean, p8_ids, p9_mix, p9_shares, p10_found, p10_makeup)}
 
+
+
+def _forms_sql(relation: str, fields: list[str]) -> str:
+    """(id, field_name, form, affected) of a table by the letter form rules, over all rows at once."""
+    cols = ", ".join(f"{f} AS f{i}" for i, f in enumerate(fields))
+    every = " UNION ALL ".join(f"SELECT n, {i} AS f, '{f}' AS field_name, f{i} AS old FROM batch WHERE f{i} IS NOT NULL" for i, f in enumerate(fields))
+    return f"""
+        WITH batch AS (SELECT row_number() OVER () AS n, id, {cols} FROM {relation}), changed AS ({letterform.consistent_sql(fields)}), every AS ({every})
+        SELECT DISTINCT b.id, e.field_name, coalesce(c.form, e.old) AS form, coalesce(c.form <> e.old, false) AS affected
+        FROM every e JOIN batch b USING (n) LEFT JOIN changed c ON c.n = e.n AND c.f = e.f
+    """
+
+
+_FORMS = f"SELECT * FROM ({_forms_sql('doc_metadata', ['title', 'issuing_authority'])}) UNION SELECT * FROM ({_forms_sql('doc_content', ['content'])})"
+
 ORACLE_SQL = {
+    "p4_forms": _FORMS,
+    "p4_found": f"SELECT DISTINCT id, field_name FROM ({_FORMS}) WHERE affected",
     "p2_found": """
         SELECT DISTINCT item_kind, item_key FROM (
             SELECT 'chunk' AS item_kind, chunk_id AS item_key, text FROM chunks
