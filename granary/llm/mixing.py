@@ -103,15 +103,19 @@ def plan_mix(cells: list[tuple], targets: dict, total_tokens: float | None = Non
 def mix_sources(counts: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(selection (doc_id, source, n_tokens, copies), shares per source).
 
-    `counts` has doc_id, source, lang, topic, n_tokens; `targets` source,
-    target_share, max_repeats. Documents without tokens (null, empty) are never
+    `counts` has doc_id, source, lang, topic, n_tokens and text_key, which is
+    equal for equal texts; `targets` source, target_share, max_repeats. A text
+    that a source holds under several ids is used under the lowest of them, so
+    that it is never used more often than its source allows. Documents without tokens (null, empty) are never
     chosen. Shares: source, target_share, actual_share, available_tokens,
     tokens, n_docs, max_copies; a target without documents has zeros; sources
     without a target are not listed. The draw is a function of the seed and the
     ids only. Repeated rows of targets: the largest share counts.
     """
     spark = counts.sparkSession
-    counts = written(counts.filter("n_tokens > 0").select("doc_id", "source", "lang", "topic", F.col("n_tokens").cast("bigint")), "mix-counts")
+    row = F.struct("doc_id", "lang", "topic", F.col("n_tokens").cast("bigint").alias("n_tokens"))
+    one = counts.filter("n_tokens > 0").groupBy("source", "text_key").agg(F.min(row).alias("r")).select("r.doc_id", "source", "r.lang", "r.topic", "r.n_tokens")
+    counts = written(one, "mix-counts")
     cells = counts.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("t")).limit(MAX_CELLS + 1).collect()
     goal = targets.filter("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     wanted = {r.source: (r.target_share or 0.0, r.max_repeats or 0) for r in goal.limit(MAX_CELLS + 1).collect()}

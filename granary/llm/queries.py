@@ -83,7 +83,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, d, "documents").select("doc_id", "source", F.lower("lang").alias("lang"), F.lower(F.trim("legal_type")).alias("topic"), "text")
+    docs = table(spark, d, "documents").select("doc_id", "source", F.lower("lang").alias("lang"), F.lower(F.trim("legal_type")).alias("topic"), F.md5("text").alias("text_key"), "text")
     return mixing.mix_sources(encode.token_counts(docs, "text"), table(spark, d, "mix_targets"))
 
 

@@ -31,20 +31,22 @@ def test_mix(spark):
     rng = random.Random(4)
     rows = [(i, "big" if i % 10 else "small", rng.choice(["vi", "en", None]), rng.choice(["luật", None]), rng.randint(1, 100)) for i in range(4000)]
     rows += [(9999, "other", "vi", None, 50), (9998, "big", None, None, 0)]
-    df = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, topic string, n_tokens bigint").repartition(5)
+    rows = [(*r, str(r[0])) for r in rows] + [(20_000 + i, "small", "en", None, 7, "same text") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, topic string, n_tokens bigint, text_key string").repartition(5)
     targets = spark.createDataFrame([("big", 0.6, 1), ("small", 0.3, 3), ("absent", 0.1, 2), (None, 0.2, 1)], "source string, target_share double, max_repeats int")
     chosen, shares = mixing.mix_sources(df, targets)
     s = {r.source: r for r in shares.collect()}
     assert abs(s["big"].actual_share - 2 / 3) < 0.005 and abs(s["small"].actual_share - 1 / 3) < 0.005 and s["absent"].tokens == 0
     got = chosen.collect()
     assert len({r.doc_id for r in got}) == len(got) and all(1 <= r.copies <= {"big": 1, "small": 3}[r.source] for r in got)
+    assert not {r.doc_id for r in got} & set(range(20_001, 20_050))
     assert sum(r.n_tokens * r.copies for r in got if r.source == "small") == s["small"].tokens
     again = {(r.doc_id, r.copies) for r in mixing.mix_sources(df.repartition(3), targets)[0].collect()}
     assert again == {(r.doc_id, r.copies) for r in got}
 
 
 def test_mix_empty(spark):
-    df = spark.createDataFrame([], "doc_id bigint, source string, lang string, topic string, n_tokens bigint")
+    df = spark.createDataFrame([], "doc_id bigint, source string, lang string, topic string, n_tokens bigint, text_key string")
     chosen, shares = mixing.mix_sources(df, spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int"))
     assert chosen.count() == 0 and shares.first().actual_share == 0.0
 
