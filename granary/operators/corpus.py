@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import squeeze
-from granary.session import plain_unions
+from granary.session import plain_unions, written
 
 
 def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -15,6 +15,20 @@ def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("n_", F.row_number().over(w)).filter("n_ = 1").drop("n_")
 
 
+def latest_of_few(df: DataFrame, key: str, order: list[Column], most: int = 1_000_000) -> DataFrame:
+    """As `latest`, for wide rows of which few repeat a key: only those are shuffled.
+
+    The keys that repeat are found from the key column alone. If there are more
+    than `most`, all rows go through `latest`.
+    """
+    plain_unions(df.sparkSession)
+    repeated = written(df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n_")).filter("n_ > 1").select(key), "repeated")
+    if repeated.count() > most:
+        return latest(df, [key], order)
+    again = df.join(F.broadcast(repeated), key, "left_semi").unionByName(df.filter(F.col(key).isNull()))
+    return df.filter(F.col(key).isNotNull()).join(F.broadcast(repeated), key, "left_anti").unionByName(latest(again, [key], order))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Rows of both by key; the new ones win."""
     plain_unions(old.sparkSession)

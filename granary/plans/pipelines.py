@@ -110,7 +110,7 @@ def build_corpus(meta: DataFrame, content: DataFrame, status: DataFrame | None =
         m = corpus.fill_status(m, status)
     if allow is not None:
         m = m.join(allow, "id", "left_semi")
-    c = corpus.latest(content, ["id"], [F.col("crawled_at").desc_nulls_last()] if "crawled_at" in content.columns else [F.xxhash64("content")])
+    c = corpus.latest_of_few(content, "id", [F.col("crawled_at").desc_nulls_last()] if "crawled_at" in content.columns else [F.xxhash64("content")])
     if config.min_marked_ratio is not None:
         c = c.filter(T.marked_ratio("content") >= config.min_marked_ratio)
     keep = [x for x in ("id", "document_number", "title", "legal_type", "legal_sectors", "issuing_authority", "issuance_date", "url", "effect_status") if x in m.columns]

@@ -19,11 +19,11 @@ def _meta(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _content(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.latest(table(spark, d, "doc_content"), ["id"], [F.col("crawled_at").desc_nulls_last()])
+    return corpus.latest_of_few(table(spark, d, "doc_content"), "id", [F.col("crawled_at").desc_nulls_last()])
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.latest(table(spark, d, "chunks"), ["chunk_id"], [F.col("created_at").desc_nulls_last()])
+    return corpus.latest_of_few(table(spark, d, "chunks"), "chunk_id", [F.col("created_at").desc_nulls_last()])
 
 
 def metadata_enrich(spark: SparkSession, d: str) -> DataFrame:

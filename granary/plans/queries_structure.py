@@ -18,7 +18,7 @@ from granary.streaming import incremental
 
 
 def _acts(spark: SparkSession, d: str) -> DataFrame:
-    c = corpus.latest(table(spark, d, "doc_content").select("id", "content", "crawled_at"), ["id"], [F.col("crawled_at").desc_nulls_last()])
+    c = corpus.latest_of_few(table(spark, d, "doc_content").select("id", "content", "crawled_at"), "id", [F.col("crawled_at").desc_nulls_last()])
     return c.select("id", "content").join(_meta(spark, d).select("id", "title", F.col("document_number").alias("number")), "id", "left")
 
 

@@ -21,6 +21,17 @@ def test_upsert_and_occurrence(spark):
     assert {(r.id, r.occurrence) for r in o.collect()} == {(1, 0), (2, 1), (3, 0)}
 
 
+def test_latest_of_few(spark):
+    rows = [(1, "a", 1), (1, "b", 2), (2, "c", None), (3, "d", 1), (3, "e", None), (None, "f", 1), (None, "g", 2)]
+    df = spark.createDataFrame(rows, "id int, v string, t int")
+    order = [F.col("t").desc_nulls_last()]
+    want = {(r.id, r.v) for r in corpus.latest(df, ["id"], order).collect()}
+    for most in (1_000_000, 0):
+        got = corpus.latest_of_few(df, "id", order, most).collect()
+        assert {(r.id, r.v) for r in got} == want and len(got) == 4
+    assert want == {(1, "b"), (2, "c"), (3, "d"), (None, "g")}
+
+
 def test_title_map(spark):
     rows = [("L1", "Luật", 1), ("L1", "Luật số 1 tên dài", 2), ("L1", "Luật số 1 tên khác", 3), ("L2", "Một cái tên rất dài không số", 1), ("L2", "số 2 ngắn", 2), (None, "x", 1)]
     df = spark.createDataFrame(rows, "k string, t string, n int")
