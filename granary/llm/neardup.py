@@ -22,13 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.pretokens import row_slices
-from granary.llm.sitelines import LineKeys, _prepare
+from granary.llm.sitelines import BROADCAST_ROWS, Frequent
 from granary.llm.words import MASK, PRIME, Words, bare_array, mix
 from granary.session import written
 
 K, BANDS, ROWS = 128, 60, 5
 SKETCH_BITS = 128
-FREQUENT_ROWS = 200_000
 CANDIDATE_ROWS = 2_000_000
 
 
@@ -123,31 +122,8 @@ def sketches(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((bits[:, :64] << shift).sum(axis=1, dtype=np.uint64).view(np.int64), (bits[:, 64:128] << shift).sum(axis=1, dtype=np.uint64).view(np.int64))
 
 
-class Frequent:
-    """The frequent line keys of each site, as sorted arrays."""
-
-    def __init__(self, rows):
-        by: dict[str | None, list[int]] = {}
-        for site, key in rows:
-            by.setdefault(site, []).append(key)
-        self.by = {s: np.array(k, np.int64).view(np.uint64) for s, k in by.items()}
-
-    def kept_words(self, w: Words, sites: list) -> np.ndarray | None:
-        if not self.by or not len(w.hash):
-            return None
-        k = LineKeys(w)
-        bad = np.zeros(len(k.key), bool)
-        for s in set(sites):
-            own = self.by.get(s)
-            if own is not None:
-                mine = np.array([x == s for x in sites])[k.row]
-                bad |= mine & (np.isin(k.key, own) | np.isin(k.label, own))
-        return ~(bad & ~k.act)[k.of_word]
-
-
 def _sets(batches: Iterator[pa.RecordBatch], frequent: Frequent, n: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(ids, elements, offsets) of (id, site, text) batches."""
-    _prepare()
     for b in batches:
         at = 0
         for part in row_slices(b.column(2)):
@@ -216,7 +192,7 @@ def near_pairs(content: DataFrame, frequent: DataFrame, threshold: float = 0.55,
     contents without a word belong to no class. Ties at the threshold count.
     """
     kind = content.schema["id"].dataType.simpleString()
-    if frequent.limit(FREQUENT_ROWS + 1).count() > FREQUENT_ROWS:
+    if frequent.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         raise ValueError("more frequent lines than a task may hold: raise the share from which a line is frequent")
     keys = Frequent([(r.site, r.key) for r in frequent.select("site", "key").collect()])
     made = written(signatures(content, keys, n), "signatures")

@@ -25,7 +25,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     c = _content(spark, d)
-    return sitelines.without_lines(c, sitelines.site_lines(c)[0])
+    return sitelines.without_lines(c, sitelines.site_lines(c)[1])
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:

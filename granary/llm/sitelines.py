@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.pretokens import row_slices
 from granary.llm.words import PRIME, Words, bare_array, mix, word_hashes
+from granary.operators.corpus import latest_of_few
 from granary.session import written
 
 SHARE, LEAST = 0.05, 6
@@ -160,14 +161,59 @@ def site_lines(content: DataFrame, share: float = SHARE, least: int = LEAST) ->
     return found.select("id", "line_no").distinct(), frequent
 
 
-def without_lines(content: DataFrame, found: DataFrame) -> DataFrame:
+class Frequent:
+    """The frequent line keys of each site, as sorted arrays."""
+
+    def __init__(self, rows):
+        by: dict[str | None, list[int]] = {}
+        for site, key in rows:
+            by.setdefault(site, []).append(key)
+        self.by = {s: np.sort(np.array(k, np.int64).view(np.uint64)) for s, k in by.items()}
+
+    def lines(self, w: Words, sites: list) -> tuple[LineKeys, np.ndarray]:
+        """(line keys of a batch, which of its lines are a site's own)."""
+        _prepare()
+        k = LineKeys(w)
+        own = np.zeros(len(k.key), bool)
+        for s in set(sites) & set(self.by):
+            mine = np.array([x == s for x in sites])[k.row]
+            own |= mine & (np.isin(k.key, self.by[s]) | np.isin(k.label, self.by[s]))
+        return k, own & ~k.act
+
+    def kept_words(self, w: Words, sites: list) -> np.ndarray | None:
+        """Which words are in no line of the site; None if there are no frequent lines."""
+        if not self.by or not len(w.hash):
+            return None
+        k, own = self.lines(w, sites)
+        return ~own[k.of_word]
+
+
+def without_lines(content: DataFrame, frequent: DataFrame) -> DataFrame:
     """(id, source_site, content, n_removed): one row per id (the latest), its site lines taken out.
 
-    Null contents stay null. Line ends stay as they were.
+    `frequent` has the (site, key) of `site_lines`; it is bounded by the shares
+    it must reach and goes to every task, so texts are only shuffled where an id
+    repeats. Null contents stay null, blank ones as they are. Line ends stay.
     """
-    bad = found.groupBy("id").agg(F.collect_set("line_no").alias("bad"))
-    last = content.groupBy("id").agg(F.max_by(F.struct("source_site", "content"), F.struct("crawled_at")).alias("r")).select("id", "r.*")
-    j = last.join(bad, "id", "left")
-    kept = F.filter(F.split("content", "\n"), lambda x, i: ~F.array_contains("bad", i + 1))
-    text = F.when(F.col("bad").isNull(), F.col("content")).otherwise(F.array_join(kept, "\n"))
-    return j.select("id", "source_site", text.alias("content"), F.coalesce(F.size("bad"), F.lit(0)).cast("int").alias("n_removed"))
+    if frequent.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        raise ValueError("more frequent lines than a task may hold: raise the share from which a line is frequent")
+    keys = Frequent([(r.site, r.key) for r in frequent.select("site", "key").collect()])
+    kind = content.schema["id"].dataType.simpleString()
+    last = latest_of_few(content.select("id", "source_site", "content", "crawled_at"), "id", [F.col("crawled_at").desc_nulls_last(), F.xxhash64("content")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = 0
+            for part in row_slices(b.column(2)):
+                ids, sites = b.column(0).slice(at, len(part)), b.column(1).slice(at, len(part))
+                at += len(part)
+                k, own = keys.lines(Words(bare_array(part)), sites.to_pylist())
+                bad: dict[int, set[int]] = {}
+                for i, j in zip(k.row[own].tolist(), k.line[own].tolist()):
+                    bad.setdefault(i, set()).add(j)
+                texts = part.to_pylist()
+                for i, drop in bad.items():
+                    texts[i] = "\n".join(x for j, x in enumerate(texts[i].split("\n")) if j not in drop)
+                yield pa.RecordBatch.from_arrays([ids, sites, pa.array(texts, pa.string()), pa.array([len(bad.get(i, ())) for i in range(len(texts))], pa.int32())], ["id", "source_site", "content", "n_removed"])
+
+    return last.select("id", F.col("source_site").cast("string"), F.col("content").cast("string")).mapInArrow(run, f"id {kind}, source_site string, content string, n_removed int")

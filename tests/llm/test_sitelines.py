@@ -55,10 +55,13 @@ def test_hot_source_and_repeats(spark):
 
 
 def test_rebuild(spark):
-    df = spark.createDataFrame([(1, "s", "a\r\nb\nc", None), (1, "s", "a\r\nb\nc", "2020"), (2, "s", None, None)], SCHEMA)
-    found = spark.createDataFrame([(1, 2)], "id bigint, line_no int")
-    got = {r.id: (r.content, r.n_removed) for r in without_lines(df, found).collect()}
-    assert got == {1: ("a\r\nc", 1), 2: (None, 0)}
+    rows = [(i, "s", f"a{'bcdefghijk'[i]} riêng\r\n<p>Dòng chung: 1{i}</p>\nc", None) for i in range(10)]
+    df = spark.createDataFrame([*rows, (0, "s", rows[0][2] + "\nmới", "2020"), (99, "s", None, None), (98, "s", " ", None), (97, None, "x", None)], SCHEMA)
+    found, frequent = site_lines(df)
+    got = {r.id: (r.content, r.n_removed) for r in without_lines(df, frequent).collect()}
+    assert len(got) == 13 and got[99] == (None, 0) and got[98] == (" ", 0) and got[97] == ("x", 0)
+    n = {r.id: r["count"] for r in found.groupBy("id").count().collect()}
+    assert got[3] == ("ae riêng\r", 2) and n[3] == 2 and got[0][0].endswith("\nmới")
 
 
 def test_empty(spark):
