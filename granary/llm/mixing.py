@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from granary.session import written
 
 MAX_CELLS = 200_000
-BUCKETS = 1024
+BUCKETS, REACH = 128, 4
 
 
 def fill_to(total: float, share: np.ndarray, room: np.ndarray) -> np.ndarray:
@@ -128,18 +128,21 @@ def mix_sources(counts: DataFrame, targets: DataFrame, total_tokens: float | Non
     whole = F.floor(F.col("w") + F.lit(1e-9))
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))
     j = j.select("doc_id", "source", "n_tokens", whole.cast("int").alias("whole"), F.greatest(F.col("w") - whole, F.lit(0.0)).alias("part"), u.alias("u"))
-    # Pareto order sampling: the documents first in this order are in the sample with probabilities close to their fractions
-    rank = F.when(F.col("part") < 1e-6, F.lit(1.0)).otherwise(F.col("u") * (1 - F.col("part")) / (F.col("u") * (1 - F.col("part")) + (1 - F.col("u")) * F.col("part")))
-    j = j.withColumn("rank", rank).withColumn("bucket", F.least(F.floor(F.col("rank") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+    # sequential Poisson sampling: in the order of u / fraction, about a fraction's worth of documents comes before 1
+    order = F.when(F.col("part") < 1e-6, F.lit(float(REACH + 1))).otherwise(F.col("u") / F.col("part"))
+    j = j.withColumn("order", order).withColumn("bucket", F.least(F.floor(F.col("order") * BUCKETS), F.lit(BUCKETS * REACH)).cast("int"))
     sums = j.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("sum"), F.sum(F.col("n_tokens") * F.col("part")).alias("need"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     start = sums.select("source", "bucket", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"), F.sum("need").over(Window.partitionBy("source")).alias("need"))
-    inside = Window.partitionBy("source", "bucket").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    run = j.join(F.broadcast(start) if len(wanted) * BUCKETS <= MAX_CELLS else start, ["source", "bucket"])
-    # a document is in if the middle of its tokens comes before the tokens still needed
+    few = len(wanted) * (BUCKETS * REACH + 1) <= MAX_CELLS
+    j = j.join(F.broadcast(start) if few else start, ["source", "bucket"])
+    # buckets that begin beyond what is needed add nothing and stay out of the window; the last, open one is among them unless a source is tiny
+    inside = Window.partitionBy("source", "bucket").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("start") + F.sum("n_tokens").over(inside) - F.col("n_tokens") / 2
     drawn = F.when((F.col("part") >= 1e-6) & (middle <= F.col("need")), 1).otherwise(0)
-    chosen = run.select("doc_id", "source", "n_tokens", (F.col("whole") + drawn).alias("copies")).filter("copies > 0")
+    open_ = F.col("start") <= F.col("need")
+    run = j.filter(open_).withColumn("drawn", drawn).unionByName(j.filter(~open_ & (F.col("whole") > 0)).withColumn("drawn", F.lit(0)))
+    chosen = run.select("doc_id", "source", "n_tokens", (F.col("whole") + F.col("drawn")).alias("copies")).filter("copies > 0")
     chosen = written(chosen, "mix")
     got = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("n_docs"), F.max("copies").alias("max_copies"))
     have = counts.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
