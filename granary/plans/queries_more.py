@@ -47,8 +47,7 @@ def sector_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def branch_rrf(spark: SparkSession, d: str) -> DataFrame:
     v, q = R._vectors(spark, d, True)
-    docs, tq = R._texts(spark, d)
-    sparse = retrieval.bm25_top_k(docs, tq.join(q.select("qid"), "qid", "left_semi"), 15, keep_self=False)
+    sparse = retrieval.bm25_top_k(*R._texts(spark, d), 15, keep_self=False)
     lists = {"all": retrieval.dense_top_k(v, q, 15), "same": retrieval.dense_top_k(v, q, 15, same="label"), "sparse": sparse}
     return fusion.rrf(lists, 10, {"all": 1.0, "same": 0.5, "sparse": 1.0}).select("qid", "id", "score", "rank", "all_rank", "same_rank", "sparse_rank")
 

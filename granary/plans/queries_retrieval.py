@@ -53,9 +53,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def _branches(spark: SparkSession, d: str, k: int = 20) -> dict[str, DataFrame]:
     v, q = _vectors(spark, d)
-    docs, tq = _texts(spark, d)
-    ids = q.select("qid")
-    return {"dense": retrieval.dense_top_k(v, q, k), "sparse": retrieval.bm25_top_k(docs, tq.join(ids, "qid", "left_semi"), k, keep_self=False)}
+    return {"dense": retrieval.dense_top_k(v, q, k), "sparse": retrieval.bm25_top_k(*_texts(spark, d), k, keep_self=False)}
 
 
 def _rrf_sql(k: int, limit: int, wd: float, ws: float) -> str:

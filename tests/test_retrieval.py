@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.operators import fusion, retrieval
+from granary.plans import registry
 
 
 def ranked(spark, rows):
@@ -25,6 +26,15 @@ def test_rrf_weights(spark):
     assert [r.id for r in got.orderBy("rank").collect()] == ["s", "d"]
 
 
+@pytest.mark.parametrize("name", ["hybrid_rrf", "hybrid_rrf_weighted", "branch_rrf"])
+def test_documents_without_a_vector_are_queries(spark, tmp_path, name):
+    spark.createDataFrame([(50, "một hai"), (51, "hai ba"), (100, "ba bốn"), (150, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(50, [1.0, 0.0], 0), (51, [1.0, 1.0], 0), (200, [0.0, 1.0], 0)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r.qid for r in got} == {50, 100, 200}
+    assert [r.id for r in got if r.qid == 100] == [51] and {r.qid for r in got if r.sparse_rank} == {50, 100}
+
+
 @pytest.mark.parametrize("same", [False, True])
 def test_dense_matches_brute_force(spark, same):
     rng = np.random.default_rng(3)
