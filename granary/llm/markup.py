@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import numpy as np
@@ -29,9 +30,12 @@ BLOCKS = frozenset("p div br tr li ul ol table h1 h2 h3 h4 h5 h6 blockquote pre
 
 FENCE = re.compile(r"^[ \t>]*(```+|~~~+)[^\n]*$", re.M)
 TAG = re.compile(r"<!--.*?-->|</?([a-zA-Z][a-zA-Z0-9]*)(?:\s[^<>]*)?/?>", re.S)
+NO_TAG = re.compile(r"<(?![/!a-zA-Z]|\?[a-zA-Z])")
 CODE_TAG = re.compile(r"<(pre|code)\b[^<>]*>(.*?)</\1\s*>", re.S | re.I)
 WIKI_CODE = re.compile(r"<(nowiki|syntaxhighlight|source)\b[^<>]*>(.*?)</\1\s*>", re.S | re.I)
 REFERENCE = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,30});")
+BARE_REFERENCE = re.compile(r"&([a-zA-Z]+[0-9]?)(?![a-zA-Z0-9=;])")
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 VERBATIM = re.compile(r"\\begin\{(verbatim|lstlisting)\}(.*?)\\end\{\1\}", re.S)
 
 MD_HEADING = re.compile(r"^[ \t]*#{1,6}[ \t]+(?=\S)(.*?)[ \t#]*$", re.M)
@@ -89,6 +93,37 @@ def split_code(text: str) -> list[tuple[str, str]]:
     return out
 
 
+class _Events(HTMLParser):
+    """Notes whether whole tags with known names, declarations or processing instructions come by."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.seen = False
+
+    def handle_starttag(self, tag, attrs):
+        # a second < outside of quotes: two comparisons, not a tag
+        self.seen |= tag in HTML_NAMES and "<" not in QUOTED.sub("", self.get_starttag_text() or "")[1:]
+
+    def handle_decl(self, decl):
+        self.seen |= decl[:7].lower() == "doctype"
+
+    def handle_pi(self, data):
+        self.seen = True
+
+
+def _has_html(t: str) -> bool:
+    """Tags, comments and references by their patterns; what these reject goes through the parser."""
+    if "&" in t and (REFERENCE.search(t) or any(m[1] in html5 for m in BARE_REFERENCE.finditer(t))):
+        return True
+    if "<" not in t:
+        return False
+    if any(m[1] is None or m[1].lower() in HTML_NAMES for m in TAG.finditer(t)):
+        return True
+    p = _Events()
+    p.feed(NO_TAG.sub("&lt;", t))  # without close(): what is not complete is no event
+    return p.seen
+
+
 def residue(text: str) -> set[str]:
     """The markup languages that the text holds residue of."""
     found: set[str] = set()
@@ -105,7 +140,7 @@ def residue(text: str) -> set[str]:
     if "`" in t and MD_CODE.search(t):
         found.add("markdown")
         t = MD_CODE.sub(" ", t)
-    if "&" in t and REFERENCE.search(t) or "<" in t and any(m[1] is None or m[1].lower() in HTML_NAMES for m in TAG.finditer(t)):
+    if ("&" in t or "<" in t) and _has_html(t):
         found.add("html")
     if "\\" in t and (TEX_COMMAND.search(t)) or "$" in t and TEX_MATH.search(t):
         found.add("latex")
@@ -215,7 +250,7 @@ def _from_html(text: str) -> str:
         lines = [x for x, r in zip(lines, ratios) if r > limit or not (x.strip() and "<" in x and not TAG.sub("", x).strip())]
     text = "\n".join(lines)
     # what only looks like a tag must not confuse the parser
-    text = re.sub(r"<(?![/!a-zA-Z])", "&lt;", text)
+    text = NO_TAG.sub("&lt;", text)
     if "<" not in text:
         return html.unescape(text).replace("\xa0", " ")
     p = _Reader()

@@ -39,6 +39,20 @@ def test_residue(text, langs):
     assert residue(text) == langs
 
 
+@pytest.mark.parametrize(
+    "text, html",
+    [
+        ("<!DOCTYPE html>\nx", True), ('<?xml version="1.0"?> x', True), ("x &nbsp y", True), ("x&nbsp", True), ('<a title="x < y">z</a', True),
+        ("R&D & AT&T", False), ("https://x.y/?a=1&copy=2&section=3", False), ("a <b và c<d, e> f", False), ("x <!-- y", False), ("a <? b > c", False),
+    ],
+)
+def test_html_events(spark, text, html):
+    df = spark.createDataFrame([("content", "1", text)], "item_kind string, item_key string, text string")
+    assert [r.markup for r in without_markup(df, texts=False).collect()] == [["html"]] * html
+    clean = without_markup(df).first().clean
+    assert not any(x in clean for x in ("<!D", "<?xml", "&nbsp", "<a")) if html else clean == text
+
+
 def test_clean_keeps_structure():
     text = "<h1>Tên</h1>\n<ul><li>một</li><li>hai</li></ul>\n<pre>a &lt; b</pre>\nx \\cite{k} $y_{1}$ \\textbf{đ}\n== Mục ==\n**đậm** [[a|b]]"
     clean, found = clean_text(text)
