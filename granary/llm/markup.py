@@ -270,10 +270,9 @@ def _plain(text: str, found: set[str]) -> str:
         text = TEX_MATH.sub(keep, text)
         text = TEX_HEADING.sub(r"# \1", TEX_DROP.sub("", text))
         text = TEX_ITEM.sub(lambda m: "- ", text)
-        for _ in range(4):
+        n = 1
+        while n:  # each round shortens the text
             text, n = TEX_WRAP.subn(r"\1", text)
-            if not n:
-                break
         text = TEX_COMMAND.sub("", TEX_END.sub("", text))
         text = re.sub(r"\x00(\d+)\x00", lambda m: formulas[int(m[1])], text)
         text = re.sub(r"^- - ", "- ", text, flags=re.M)

@@ -65,6 +65,10 @@ def test_clean_keeps_structure():
     assert "đậm" in clean and "đ" in clean
 
 
+def test_clean_unwraps_any_depth():
+    assert clean_text("x " + "\\textbf{" * 9 + "đ" + "}" * 9)[0] == "x đ"
+
+
 @pytest.mark.parametrize("text", ["không có gì", "dòng\nhai < 3", "```\nx\n```"])
 def test_clean_leaves_plain(text):
     assert clean_text(text)[0] == text
