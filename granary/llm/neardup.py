@@ -26,7 +26,7 @@ from granary.llm.sitelines import BROADCAST_ROWS, Frequent
 from granary.llm.words import MASK, PRIME, Words, bare_array, mix
 from granary.session import written
 
-K, BANDS, ROWS = 128, 60, 5
+K, BANDS, ROWS = 128, 96, 4
 SKETCH_BITS = 128
 CANDIDATE_ROWS = 2_000_000
 

@@ -78,6 +78,14 @@ def test_pairs_match_brute_force(spark):
     assert set(groups) == {i for i in s if s[i]}
 
 
+def test_bands_meet_at_the_threshold():
+    agree = np.random.default_rng(1).random((50_000, N.K)) < 0.55
+    met = np.zeros(len(agree), bool)
+    for band in N._order:
+        met |= agree[:, band].all(axis=1)
+    assert met.mean() > 0.998
+
+
 def test_copies_are_one_class(spark):
     text = " ".join(f"t{i}" for i in range(50))
     df = spark.createDataFrame([(i, "a", text) for i in range(300)], SCHEMA)
