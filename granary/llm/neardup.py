@@ -235,7 +235,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     Alternates links to the lowest neighbour for higher and for lower
     neighbours (large and small stars) until nothing changes; each round is
-    written to the shared folder.
+    written to the shared folder. Raises if `rounds` are not enough.
     """
     e = written(edges.select("a", "b").distinct(), "edges")
     before = None
@@ -251,6 +251,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"links still change after {rounds} rounds: allow more")
     return e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id").union(e.select(F.col("b"), F.col("b")).distinct()).groupBy("id").agg(F.min("component").alias("component"))
 
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from granary.llm import neardup as N
 from granary.llm.words import Words
@@ -100,6 +101,11 @@ def test_components(spark):
     assert {got[i] for i in range(1, 41)} == {1} and {got[i] for i in (100, 101, 102)} == {100}
 
 
+def test_components_say_if_rounds_run_out(spark):
+    with pytest.raises(RuntimeError):
+        N.components(spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a bigint, b bigint"), rounds=2)
+
+
 def test_empty(spark):
     classes, pairs = N.near_pairs(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "site string, key bigint"))
     assert classes.count() == pairs.count() == 0
