@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.pretokens import row_slices
-from granary.llm.sitelines import BROADCAST_ROWS, Frequent
+from granary.llm.sitelines import BROADCAST_ROWS, Frequent, with_drops
 from granary.llm.words import MASK, PRIME, Words, bare_array, mix
+from granary.operators.corpus import latest_of_few
 from granary.session import written
 
 K, BANDS, ROWS = 128, 96, 4
@@ -123,18 +124,18 @@ def sketches(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], frequent: Frequent, n: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(ids, elements, offsets) of (id, site, text) batches."""
+    """(ids, elements, offsets) of (id, site, text, drop) batches."""
     for b in batches:
         at = 0
         for part in row_slices(b.column(2)):
-            ids, sites = b.column(0).slice(at, len(part)), b.column(1).slice(at, len(part)).to_pylist()
+            ids, sites, drop = (b.column(i).slice(at, len(part)) for i in (0, 1, 3))
             at += len(part)
             w = Words(bare_array(part))
-            yield ids, *shingle_sets(w, n, frequent.kept_words(w, sites))
+            yield ids, *shingle_sets(w, n, frequent.kept_words(w, sites.to_pylist(), drop.to_pylist()))
 
 
 def _nonblank(content: DataFrame) -> DataFrame:
-    return content.select("id", F.col("source_site").cast("string"), F.col("content").cast("string")).filter("id is not null and trim(translate(content, '\\r\\n\\t', '   ')) <> ''")
+    return content.select("id", "source_site", "content", "drop").filter("id is not null and trim(translate(content, '\\r\\n\\t', '   ')) <> ''")
 
 
 def signatures(content: DataFrame, frequent: Frequent, n: int = 3) -> DataFrame:
@@ -183,27 +184,26 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared, pa.int32()), pa.array(union, pa.int32())], ["a", "b", "shared", "total"])
 
 
-def near_pairs(content: DataFrame, frequent: DataFrame, threshold: float = 0.55, n: int = 3) -> tuple[DataFrame, DataFrame]:
+def near_pairs(content: DataFrame, frequent: DataFrame, threshold: float = 0.55, n: int = 3, most: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """(classes (id, rep), pairs of reps (a, b, similarity) with a < b).
 
     `content` has id, source_site and content; `frequent` the (site, key) of the
     lines to set aside. A class holds the ids with equal sets, its rep is its
-    lowest id; rows that repeat an id count once. Null and blank contents and
+    lowest id; of rows that repeat an id one counts. Null and blank contents and
     contents without a word belong to no class. Ties at the threshold count.
     """
     kind = content.schema["id"].dataType.simpleString()
-    if frequent.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError("more frequent lines than a task may hold: raise the share from which a line is frequent")
-    keys = Frequent([(r.site, r.key) for r in frequent.select("site", "key").collect()])
+    once = latest_of_few(content.select("id", "source_site", "content"), "id", [F.xxhash64("content", "source_site")])
+    content, keys = with_drops(once, frequent, most)
     made = written(signatures(content, keys, n), "signatures")
     reps = made.select("set_hash", "size", "id")
     rep_of = reps.groupBy("set_hash", "size").agg(F.min("id").alias("rep"))
     classes = written(reps.join(rep_of, ["set_hash", "size"]).select("id", "rep").distinct(), "classes")
     heads = classes.select(F.col("rep").alias("id")).distinct()
-    rows = made.join(heads, "id", "left_semi").dropDuplicates(["id"])
+    rows = made.join(heads, "id", "left_semi")
     long = rows.select("id", F.explode("bands").alias("band"))
     raw = long.alias("x").join(long.alias("y"), "band").filter("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    sketch = made.select("id", "low", "high", "size").dropDuplicates(["id"])
+    sketch = rows.select("id", "low", "high", "size")
     one, two = (sketch.toDF(c, f"low_{c}", f"high_{c}", f"size_{c}") for c in "ab")
     differ = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b")))
     # one-bit agreement is (1 + J) / 2; four standard deviations below it
@@ -214,7 +214,7 @@ def near_pairs(content: DataFrame, frequent: DataFrame, threshold: float = 0.55,
     wanted = written(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "candidate-ids")
     few = wanted.count() <= CANDIDATE_ROWS
     some = content.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
-    sets = written(element_sets(some, keys, n).dropDuplicates(["id"]), "sets")
+    sets = written(element_sets(some, keys, n), "sets")
     both = near.join(sets.toDF("a", "ea"), "a").join(sets.toDF("b", "eb"), "b").select("a", "b", "ea", "eb")
     sure = both.mapInArrow(_overlap, f"a {kind}, b {kind}, shared int, total int").filter(F.col("shared") >= F.lit(threshold) * F.col("total"))
     pairs = written(sure.select("a", "b", (F.col("shared") / F.col("total")).alias("similarity")), "pairs")
@@ -230,16 +230,17 @@ def id_pairs(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return across.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).union(inside.select("id_a", "id_b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component) of the nodes of `edges` (a, b): the lowest id that can be reached.
 
     Alternates links to the lowest neighbour for higher and for lower
-    neighbours (large and small stars) until nothing changes; each round is
-    written to the shared folder. Raises if `rounds` are not enough.
+    neighbours (large and small stars) until nothing changes, which takes about
+    the logarithm of the longest chain in rounds; each round is written to the
+    shared folder.
     """
     e = written(edges.select("a", "b").distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = e.union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -251,8 +252,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"links still change after {rounds} rounds: allow more")
     return e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id").union(e.select(F.col("b"), F.col("b")).distinct()).groupBy("id").agg(F.min("component").alias("component"))
 
 

@@ -100,18 +100,16 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
         return []
     if n <= limit:
         return [(0, n)]
-    pieces = -(-(n - overlap) // (limit - overlap))
-    best, tries = None, 0
-    while tries < TRIES:
+    fewest = -(-(n - overlap) // (limit - overlap))
+    best = None
+    # every piece adds at least one character of its own
+    for pieces in range(fewest, min(fewest + TRIES, n - overlap + 1)):
         made = plan(text, pieces, limit, overlap)
-        if made:
-            tries += 1
-            if best is None or made[1] > best[1]:
-                best = made
-            if made[1] >= LINE:
-                break
-        pieces += 1
-    ends = [*best[0], n]
+        if made and (best is None or made[1] > best[1]):
+            best = made
+        if best and best[1] >= LINE:
+            break
+    ends = [*(best[0] if best else range(limit, n, limit - overlap)), n]
     return list(zip([0, *(e - overlap for e in ends[:-1])], ends))
 
 

@@ -19,13 +19,18 @@ def sector_names(spark: SparkSession, d: str) -> list[str]:
     return [r.sector_name for r in table(spark, d, "sector_list").select("sector_name").limit(100_001).collect()]
 
 
+def _site_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    acts = table(spark, d, "doc_metadata")
+    own = acts.select(F.explode(F.array("issuing_authority", "legal_type", "document_number", "title")).alias("text"))
+    return sitelines.site_lines(_content(spark, d), fields=own)
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return sitelines.site_lines(_content(spark, d))[0]
+    return _site_lines(spark, d)[0]
 
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
-    c = _content(spark, d)
-    return sitelines.without_lines(c, sitelines.site_lines(c)[1])
+    return sitelines.without_lines(_content(spark, d), _site_lines(spark, d)[1])
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -41,13 +46,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    c = _content(spark, d)
-    return neardup.id_pairs(*neardup.near_pairs(c, sitelines.site_lines(c)[1]))
+    return neardup.id_pairs(*neardup.near_pairs(_content(spark, d), _site_lines(spark, d)[1]))
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    c = _content(spark, d)
-    return neardup.near_groups(*neardup.near_pairs(c, sitelines.site_lines(c)[1]))
+    return neardup.near_groups(*neardup.near_pairs(_content(spark, d), _site_lines(spark, d)[1]))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +100,9 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
     acts = table(spark, d, "doc_metadata")
-    names = [r.subject for r in table(spark, d, "subject_areas").select("subject").orderBy("subject").limit(1000).collect()]
+    names = sorted(r.subject for r in table(spark, d, "subject_areas").select("subject").distinct().limit(subjects.MAX_SUBJECTS + 1).collect())
+    if len(names) > subjects.MAX_SUBJECTS:
+        raise ValueError("more subject areas than a model may have")
     act_sectors = explode_packed(acts, "id", {"legal_sectors": {"names": sector_names(spark, d), "dash": True}}).select("id", "val")
     docs = table(spark, d, "documents")
     model = subjects.fit_subjects(table(spark, d, "doc_content"), acts, act_sectors, table(spark, d, "sector_list"), docs, table(spark, d, "subject_labels"), names)

@@ -33,6 +33,8 @@ LEAST_SENTENCES = 100
 SHARE = 0.25
 MAX_ACTS, MAX_DOCUMENTS = 400, 2400
 MAX_CHARS = 1 << 26
+#: More classes make the weights too large for a task; such a list is an error.
+MAX_SUBJECTS = 1000
 
 #: The subject area each sector code is filed under.
 SECTOR_SUBJECT = {

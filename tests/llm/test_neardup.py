@@ -2,9 +2,9 @@ import random
 
 import numpy as np
 import pyarrow as pa
-import pytest
 
 from granary.llm import neardup as N
+from granary.llm.sitelines import site_lines
 from granary.llm.words import Words
 
 SCHEMA = "id bigint, source_site string, content string"
@@ -101,9 +101,19 @@ def test_components(spark):
     assert {got[i] for i in range(1, 41)} == {1} and {got[i] for i in (100, 101, 102)} == {100}
 
 
-def test_components_say_if_rounds_run_out(spark):
-    with pytest.raises(RuntimeError):
-        N.components(spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a bigint, b bigint"), rounds=2)
+def test_long_chains_converge(spark):
+    got = {r.id: r.component for r in N.components(spark.createDataFrame([(i, i + 1) for i in range(1, 300)], "a bigint, b bigint")).collect()}
+    assert len(got) == 300 and set(got.values()) == {1}
+
+
+def test_many_frequent_lines_give_the_same(spark):
+    letters = str.maketrans("0123456789", "abcdefghij")
+    rows = [(i, r[1], r[2].translate(letters) + "\nDòng chung của trang\n" + f"Người nhập: {'abc'[i % 3]}") for i, r in enumerate(build(random.Random(3)))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    _, frequent = site_lines(df)
+    assert frequent.count() > 0
+    one, two = ({tuple(r) for r in N.id_pairs(*N.near_pairs(df, frequent, most=m)).collect()} for m in (0, 1000))
+    assert one == two and one
 
 
 def test_empty(spark):

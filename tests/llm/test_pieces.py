@@ -16,6 +16,19 @@ def test_limits_overlap_and_cover(text, limit, overlap):
     assert all(a[1] - b[0] == overlap and b[1] > a[1] for a, b in zip(p, p[1:]))
 
 
+@given(st.text("ab. \n", max_size=200), st.integers(1, 60), st.integers(1, 60))
+@settings(max_examples=300, deadline=None)
+def test_every_overlap_ends(text, limit, less):
+    overlap = max(0, limit - less)
+    p = cut(text, limit, overlap)
+    assert all(0 < e - s <= limit for s, e in p) and all(a[1] - b[0] == overlap and b[1] > a[1] for a, b in zip(p, p[1:]))
+    assert not text or (p[0][0] == 0 and p[-1][1] == len(text))
+
+
+def test_overlap_of_all_but_one():
+    assert len(cut("a" * 40, 10, 9)) == 31
+
+
 def test_balanced_and_at_boundaries():
     text = "".join(f"Điều {i}. " + "chữ " * 100 + "\n" for i in range(20))
     p = cut(text, 3000, 200)

@@ -64,6 +64,22 @@ def test_rebuild(spark):
     assert got[3] == ("ae riêng\r", 2) and n[3] == 2 and got[0][0].endswith("\nmới")
 
 
+def test_many_frequent_lines_give_the_same(spark):
+    rows, truth = corpus(24)
+    df = spark.createDataFrame(rows, SCHEMA)
+    found, frequent = site_lines(df, most=0)
+    assert {tuple(r) for r in found.collect()} == truth
+    one, two = ({tuple(r) for r in without_lines(df, frequent, most=m).collect()} for m in (0, 1000))
+    assert one == two and sum(r[3] for r in one) == len(truth)
+
+
+def test_values_of_the_documents_own_fields_stay(spark):
+    rows = [(i, "a", f"BỘ HẠ TẦNG\nLượt xem: {i}\nriêng {'abcdefghij'[i]}", None) for i in range(10)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    fields = spark.createDataFrame([("Bộ Hạ tầng",), (None,), ("Bộ Hạ tầng",)], "text string")
+    assert {r.line_no for r in site_lines(df)[0].collect()} == {1, 2} and {r.line_no for r in site_lines(df, fields=fields)[0].collect()} == {2}
+
+
 def test_empty(spark):
     assert site_lines(spark.createDataFrame([], SCHEMA))[0].count() == 0
 
