@@ -1,11 +1,12 @@
 """Markup residue: which languages are left in a text, and the text without them.
 
-Texts with tags or character references run through the standard library's
-streaming HTML parser, whose events rebuild lines of text and remember headings,
-list items, tables, code and formulas. Markdown, wiki and LaTeX residue is read
-line by line. Tag-laden texts also get a text-to-tag ratio per line, smoothed
-with a Gaussian; lines below a threshold set between the two clusters of ratios
-that hold nothing but markup are left out. Lines with text always stay.
+Code is set aside first. What is left runs through the standard library's
+streaming HTML parser, whose events say what HTML residue there is and rebuild
+the lines of text with marks for headings, list items, table rows and code. Each
+line has a ratio of text to tags; the ratios are smoothed with a Gaussian and
+cut between their two clusters, and lines of the low region whose words all
+stand in links or buttons (menus, share bars) are no content. Markdown, wiki and
+LaTeX residue is read line by line.
 """
 
 from __future__ import annotations
@@ -26,15 +27,15 @@ HTML_NAMES = frozenset(
     "a abbr address article aside b big blockquote body br button caption center cite code col colgroup dd del details dfn div dl dt em figure figcaption font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main mark meta nav noscript ol option p pre q s samp script section select small span strike strong style sub summary sup table tbody td textarea tfoot th thead time title tr tt u ul var video wbr".split()
 )
 HEADINGS = {f"h{i}" for i in range(1, 7)} | {"title"}
+#: Elements whose words lead elsewhere or act on the page.
+CONTROLS = frozenset("a button nav label option select form".split())
+HIDDEN = frozenset(("script", "style"))
 BLOCKS = frozenset("p div br tr li ul ol table h1 h2 h3 h4 h5 h6 blockquote pre hr section article header footer dd dt title".split())
 
 FENCE = re.compile(r"^[ \t>]*(```+|~~~+)[^\n]*$", re.M)
 TAG = re.compile(r"<!--.*?-->|</?([a-zA-Z][a-zA-Z0-9]*)(?:\s[^<>]*)?/?>", re.S)
-NO_TAG = re.compile(r"<(?![/!a-zA-Z]|\?[a-zA-Z])")
 CODE_TAG = re.compile(r"<(pre|code)\b[^<>]*>(.*?)</\1\s*>", re.S | re.I)
 WIKI_CODE = re.compile(r"<(nowiki|syntaxhighlight|source)\b[^<>]*>(.*?)</\1\s*>", re.S | re.I)
-REFERENCE = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,30});")
-BARE_REFERENCE = re.compile(r"&([a-zA-Z]+[0-9]?)(?![a-zA-Z0-9=;])")
 QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 VERBATIM = re.compile(r"\\begin\{(verbatim|lstlisting)\}(.*?)\\end\{\1\}", re.S)
 
@@ -93,145 +94,168 @@ def split_code(text: str) -> list[tuple[str, str]]:
     return out
 
 
-class _Events(HTMLParser):
-    """Notes whether whole tags with known names, declarations or processing instructions come by."""
+#: Noncharacters of Unicode: around the number of a piece of code that is set aside; for a < that opens nothing.
+HOLD, LET, LONE = "\ufdd0", "\ufdd1", "\ufdd2"
+HELD = re.compile(f"{HOLD}(\\d+){LET}")
 
-    def __init__(self):
+
+def without_code(text: str) -> tuple[str, list[tuple[str, str]]]:
+    """(the text with a mark for each piece of code, the pieces)."""
+    out, held = [], []
+    for kind, part in split_code(text):
+        if kind != "text":
+            held.append((kind, part))
+            out.append(f"{HOLD}{len(held) - 1}{LET}")
+        elif "`" in part:
+            at = 0
+            for m in MD_CODE.finditer(part):
+                held.append(("inline", m[0]))
+                out += [part[at : m.start()], f"{HOLD}{len(held) - 1}{LET}"]
+                at = m.end()
+            out.append(part[at:])
+        else:
+            out.append(part)
+    return "".join(out), held
+
+
+class Events(HTMLParser):
+    """The parser's events of one text: (line from 0, kind, value).
+
+    Kinds: `open` and `close` of HTML elements, `note` (comments, doctypes,
+    processing instructions), `reference` (the character it stands for) and
+    `text`, which also has what only looks like markup, as it is written.
+    """
+
+    def __init__(self, text: str):
         super().__init__(convert_charrefs=False)
-        self.seen = False
+        self.source, self.events = text, []
+        self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        self.feed(text + "\n")  # a reference at the very end needs a sign after it
+        while rest := self.rawdata:  # a construct without an end: its first sign is text
+            self.clear_cdata_mode()
+            self.rawdata = ""
+            self.handle_data(rest[0])
+            self.offset += 1
+            # without a > no other construct has an end either
+            self.feed(rest[1:] if ">" in rest else rest[1:].replace("<", LONE))
+        line, kind, last = self.events.pop()
+        self.events.append((line, kind, last[:-1]))
+
+    def _at(self) -> int:
+        return self.starts[self.lineno - 1] + self.offset
+
+    def _add(self, kind: str, value: str) -> None:
+        self.events.append((self.lineno - 1, kind, value))
+
+    def _raw(self, end: str) -> str:
+        a = self._at()
+        b = self.source.find(end, a)
+        return self.source[a : b + len(end)] if b >= 0 else self.source[a:]
 
     def handle_starttag(self, tag, attrs):
+        raw = self.get_starttag_text() or ""
         # a second < outside of quotes: two comparisons, not a tag
-        self.seen |= tag in HTML_NAMES and "<" not in QUOTED.sub("", self.get_starttag_text() or "")[1:]
+        if tag in HTML_NAMES and "<" not in QUOTED.sub("", raw)[1:]:
+            self._add("open", tag)
+        else:
+            self._add("text", raw)
 
-    def handle_decl(self, decl):
-        self.seen |= decl[:7].lower() == "doctype"
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if self.events[-1][1] == "open":
+            self._add("close", tag)
 
-    def handle_pi(self, data):
-        self.seen = True
+    def handle_endtag(self, tag):
+        if tag in HTML_NAMES:
+            self._add("close", tag)
+        else:
+            self._add("text", self._raw(">"))
 
+    def handle_data(self, data):
+        self._add("text", data.replace(LONE, "<"))
 
-def _has_html(t: str) -> bool:
-    """Tags, comments and references by their patterns; what these reject goes through the parser."""
-    if "&" in t and (REFERENCE.search(t) or any(m[1] in html5 for m in BARE_REFERENCE.finditer(t))):
-        return True
-    if "<" not in t:
-        return False
-    if any(m[1] is None or m[1].lower() in HTML_NAMES for m in TAG.finditer(t)):
-        return True
-    p = _Events()
-    p.feed(NO_TAG.sub("&lt;", t))  # without close(): what is not complete is no event
-    return p.seen
+    def handle_comment(self, data):
+        if self.source.startswith("<!--", self._at()):
+            self._add("note", data)
+        else:
+            self._add("text", self._raw(">"))
 
+    def handle_decl(self, decl):
+        if decl[:7].lower() == "doctype":
+            self._add("note", decl)
+        else:
+            self._add("text", self._raw(">"))
 
-def residue(text: str) -> set[str]:
-    """The markup languages that the text holds residue of."""
-    found: set[str] = set()
-    if not SIGNAL.search(text):
-        return found
-    parts = []
-    for kind, part in split_code(text):
-        if kind == "text":
-            parts.append(part)
+    def unknown_decl(self, data):
+        self._add("text", self._raw(">"))
+
+    def handle_pi(self, data):
+        if data[:1].isalpha():
+            self._add("note", data)
         else:
-            found.add(kind)
-            parts.append("\n")
-    t = "".join(parts)
-    if "`" in t and MD_CODE.search(t):
-        found.add("markdown")
-        t = MD_CODE.sub(" ", t)
-    if ("&" in t or "<" in t) and _has_html(t):
-        found.add("html")
-    if "\\" in t and (TEX_COMMAND.search(t)) or "$" in t and TEX_MATH.search(t):
-        found.add("latex")
-    if "$" in t or "\\" in t:
-        t = TEX_MATH.sub(" ", t)
-    if "markdown" not in found:
-        if "](" in t and MD_LINK.search(t) or "**" in t and MD_STRONG.search(t) or "__" in t and MD_STRONG.search(t) or "~~" in t and MD_STRIKE.search(t) or "#" in t and MD_HEADING.search(t) or ">" in t and MD_QUOTE.search(t) or ("*" in t or "_" in t) and MD_EM.search(t):
-            found.add("markdown")
-    if "[[" in t and WIKI_LINK.search(t) or "[http" in t and WIKI_URL.search(t) or "{{" in t and WIKI_TEMPLATE.search(t) or "''" in t and WIKI_QUOTES.search(t) or "==" in t and WIKI_HEADING.search(t) or ("{|" in t or "|}" in t or "|-" in t) and WIKI_TABLE.search(t):
-        found.add("wiki")
-    return found
+            self._add("text", self._raw(">"))
 
+    def _reference(self, name: str) -> None:
+        raw = f"&{name}"
+        if self.source.startswith(raw + ";", self._at()):
+            raw += ";"
+        # without the closing sign only the names of old that end there
+        known = name[0] == "#" and raw[-1] == ";" or raw[1:] in html5 and (raw[-1] == ";" or self.source[self._at() + len(raw) : self._at() + len(raw) + 1] != "=")
+        self._add("reference" if known else "text", html.unescape(raw) if known else raw)
 
-class _Reader(HTMLParser):
-    """Rebuilds text lines from parser events; headings, items, code and cells keep a mark."""
+    def handle_charref(self, name):
+        self._reference("#" + name)
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.cells = 0
+    def handle_entityref(self, name):
+        self._reference(name)
 
-    def handle_starttag(self, tag, attrs):
-        if tag not in HTML_NAMES:
-            self.out.append(self.get_starttag_text() or "")
-            return
-        if tag in HEADINGS:
-            self.line("# ")
-        elif tag == "li":
-            self.line("- ")
-        elif tag == "tr":
-            self.cells = 0
-            self.line("| ")
-        elif tag in ("td", "th"):
-            self.out.append(" | " if self.cells else "")
-            self.cells += 1
-        elif tag == "pre":
-            self.line("```\n")
-        elif tag == "code":
-            self.out.append("`")
-        elif tag in BLOCKS:
-            self.line("")
 
-    def handle_startendtag(self, tag, attrs):
-        if tag == "br":
-            self.line("")
-        elif tag not in HTML_NAMES:
-            self.out.append(self.get_starttag_text() or "")
+def html_events(text: str) -> list[tuple[int, str, str]]:
+    """Events of a text; without a < or & there is nothing for the parser to tell."""
+    return Events(text).events if "<" in text or "&" in text else [(0, "text", text)]
 
-    def handle_endtag(self, tag):
-        if tag not in HTML_NAMES:
-            self.out.append(f"</{tag}>")
-        elif tag == "tr":
-            self.out.append(" |\n")
-        elif tag == "pre":
-            self.line("```\n")
-        elif tag == "code":
-            self.out.append("`")
-        elif tag in BLOCKS and tag != "br":
-            self.out.append("\n")
 
-    def handle_data(self, data):
-        self.out.append(data.replace("\xa0", " "))
+def has_html(events: list[tuple[int, str, str]]) -> bool:
+    return any(kind != "text" for _, kind, _ in events)
 
-    def handle_decl(self, decl):
-        self.out.append("")
 
-    def unknown_decl(self, data):
-        self.out.append("")
+def residue(text: str) -> set[str]:
+    """The markup languages that the text holds residue of."""
+    return scan(text)[0]
 
-    def line(self, mark: str) -> None:
-        if self.out and not self.out[-1].endswith("\n") and any(x.strip() for x in self.out[-4:]):
-            self.out.append("\n")
-        self.out.append(mark)
+
+def scan(text: str) -> tuple[set[str], str, list[tuple[str, str]], list[tuple[int, str, str]]]:
+    """(languages found, text without code, pieces of code, parser events)."""
+    if not SIGNAL.search(text):
+        return set(), text, [], []
+    t, held = without_code(text)
+    found = {"markdown" if kind == "inline" else kind for kind, _ in held}
+    events = html_events(t)
+    if has_html(events):
+        found.add("html")
+    if "\\" in t and (TEX_COMMAND.search(t)) or "$" in t and TEX_MATH.search(t):
+        found.add("latex")
+    x = TEX_MATH.sub(" ", t) if "$" in t or "\\" in t else t
+    if "markdown" not in found:
+        if "](" in x and MD_LINK.search(x) or "**" in x and MD_STRONG.search(x) or "__" in x and MD_STRONG.search(x) or "~~" in x and MD_STRIKE.search(x) or "#" in x and MD_HEADING.search(x) or ">" in x and MD_QUOTE.search(x) or ("*" in x or "_" in x) and MD_EM.search(x):
+            found.add("markdown")
+    if "[[" in x and WIKI_LINK.search(x) or "[http" in x and WIKI_URL.search(x) or "{{" in x and WIKI_TEMPLATE.search(x) or "''" in x and WIKI_QUOTES.search(x) or "==" in x and WIKI_HEADING.search(x) or ("{|" in x or "|}" in x or "|-" in x) and WIKI_TABLE.search(x):
+        found.add("wiki")
+    return found, t, held, events
 
 
-def tag_ratios(lines: list[str], sigma: float = 1.0) -> np.ndarray:
+def smoothed_ratios(chars: np.ndarray, tags: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     """Characters of text per tag of each line, smoothed with a Gaussian."""
-    raw = []
-    for x in lines:
-        tags = len(TAG.findall(x)) if "<" in x else 0
-        raw.append(len(TAG.sub("", x).strip() if tags else x.strip()) / max(1, tags))
+    if not len(chars):
+        return np.zeros(0)
     r = int(3 * sigma)
     k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-    return np.convolve(np.pad(np.array(raw, float), r, mode="edge"), k / k.sum(), "valid") if raw else np.zeros(0)
+    return np.convolve(np.pad(chars / np.maximum(tags, 1), r, mode="edge"), k / k.sum(), "valid")
 
 
-def content_threshold(ratios: np.ndarray) -> float:
-    """Between the two clusters of ratios (two means, run to rest)."""
+def content_threshold(ratios: np.ndarray, apart: float = 3.0) -> float:
+    """Between the two clusters of ratios (two means, run to rest); below all of them if the clusters are not `apart` times each other."""
     low, high = float(ratios.min()), float(ratios.max())
-    if high - low < 1e-9:
-        return low
     for _ in range(32):
         cut = (low + high) / 2
         a, b = ratios[ratios <= cut], ratios[ratios > cut]
@@ -239,24 +263,116 @@ def content_threshold(ratios: np.ndarray) -> float:
         if new == (low, high):
             break
         low, high = new
-    return (low + high) / 2
-
-
-def _from_html(text: str) -> str:
-    lines = text.split("\n")
-    if "<" in text and len(lines) > 2:
-        ratios = tag_ratios(lines)
-        limit = content_threshold(ratios)
-        lines = [x for x, r in zip(lines, ratios) if r > limit or not (x.strip() and "<" in x and not TAG.sub("", x).strip())]
-    text = "\n".join(lines)
-    # what only looks like a tag must not confuse the parser
-    text = NO_TAG.sub("&lt;", text)
-    if "<" not in text:
-        return html.unescape(text).replace("\xa0", " ")
-    p = _Reader()
-    p.feed(text)
-    p.close()
-    return "".join(p.out)
+    return (low + high) / 2 if high > apart * low else -1.0
+
+
+def no_content(events: list[tuple[int, str, str]], threshold=content_threshold) -> set[int]:
+    """Lines outside the content regions: of a low text-to-tag ratio, with all their words in links or buttons."""
+    last = max((line + value.count("\n") * (kind == "text") for line, kind, value in events), default=0)
+    chars, tags, free = np.zeros(last + 1), np.zeros(last + 1), np.zeros(last + 1)
+    inside = 0
+    for line, kind, value in events:
+        if kind in ("text", "reference"):
+            for i, x in enumerate(value.split("\n")):
+                n = len(x.strip())
+                chars[line + i] += n
+                # signs between links are no words
+                free[line + i] += n if not inside and any(map(str.isalnum, x)) else 0
+        else:
+            tags[line] += 1
+            if value in CONTROLS and kind != "note":
+                inside = max(0, inside + (1 if kind == "open" else -1))
+    if not tags.any():
+        return set()
+    ratios = smoothed_ratios(chars, tags)
+    return set(np.flatnonzero((ratios <= threshold(ratios)) & (tags > 0) & (chars > 0) & (free == 0)).tolist())
+
+
+class _Page:
+    """Lines of text rebuilt from events; headings, items, table rows and code keep a mark."""
+
+    def __init__(self):
+        self.out: list[str] = []
+        self.mark, self.fresh, self.brk = "", True, False
+        self.row = self.cell = False
+        self.cells = 0
+
+    def raw(self, s: str) -> None:
+        if self.brk and not self.fresh and not s.startswith("\n"):
+            self.out.append("\n")
+        self.out += [self.mark, s]
+        self.fresh = s.endswith("\n") if s else self.fresh and not self.mark
+        self.mark, self.brk = "", False
+
+    def text(self, s: str) -> None:
+        if self.row:
+            if not self.cell and not s.strip():
+                return
+            s = s.replace("\r", "").replace("\n", " ")
+        if self.mark:
+            s = s.lstrip()
+            if not s:
+                return
+        if s:
+            self.raw(s)
+
+    def open(self, tag: str, ends: bool) -> None:
+        """`ends`: whether the element's end comes later."""
+        if tag == "tr" and ends:
+            self.row, self.cell, self.cells, self.mark, self.brk = True, False, 0, "| ", True
+        elif tag in ("td", "th") and self.row:
+            if self.cells:
+                self.raw(" | ")
+            self.cells, self.cell = self.cells + 1, True
+        elif self.row and self.cell:
+            if tag == "code":
+                self.raw("`")
+        elif tag in HEADINGS or tag == "li":
+            self.mark, self.brk = "- " if tag == "li" else "# ", True
+        elif tag == "code":
+            self.raw("`")
+        elif tag in BLOCKS:
+            self.brk = True
+
+    def close(self, tag: str) -> None:
+        if tag in ("tr", "table", "tbody", "thead"):
+            if self.row and self.cells:
+                self.raw(" |")
+            self.row = self.cell = False
+            self.mark, self.brk = "", True
+        elif tag in ("td", "th"):
+            self.cell = False
+        elif tag == "code":
+            self.raw("`")
+        elif tag in BLOCKS and not self.row:
+            self.mark, self.brk = "" if tag in HEADINGS or tag == "li" else self.mark, True
+
+
+def page_text(events: list[tuple[int, str, str]], threshold=content_threshold) -> str:
+    """The text of the content regions of a text's events."""
+    drop = no_content(events, threshold)
+    ends = {value: i for i, (_, kind, value) in enumerate(events) if kind == "close"}
+    row_end = max((ends.get(t, -1) for t in ("tr", "table")), default=-1)
+    page, hidden = _Page(), None
+    for i, (line, kind, value) in enumerate(events):
+        if hidden:
+            if kind == "close" and value == hidden:
+                hidden = None
+        elif kind == "open":
+            if value in HIDDEN and ends.get(value, -1) > i:
+                hidden = value
+            else:
+                page.open(value, row_end > i)
+        elif kind == "close":
+            page.close(value)
+        elif kind == "reference":
+            if line not in drop:
+                page.text(value.replace("\xa0", " "))
+        elif kind == "text":
+            lines = value.split("\n")
+            kept = [x if line + j not in drop else "" for j, x in enumerate(lines)] if drop else lines
+            page.text("\n".join(kept))
+    return "".join(page.out)
 
 
 def _plain(text: str, found: set[str]) -> str:
@@ -289,28 +405,25 @@ def _plain(text: str, found: set[str]) -> str:
     return text
 
 
-def clean_text(text: str) -> tuple[str, set[str]]:
+def clean_text(text: str, threshold=content_threshold) -> tuple[str, set[str]]:
     """(clean text, languages found). Code keeps its fences or backquotes, formulas $...$, headings `# `, list items `- `."""
-    found = residue(text)
+    found, t, held, events = scan(text)
     if not found:
         return text, found
-    out = []
-    for kind, part in split_code(text):
-        if kind == "text":
-            if "html" in found and ("<" in part or "&" in part):
-                part = _from_html(part)
-            out.append(_plain(part, found))
-        elif kind == "html":
-            inner = CODE_TAG.match(part)
-            body = html.unescape(TAG.sub("", inner[2]))
-            out.append(f"```\n{body.strip(chr(10))}\n```" if inner[1].lower() == "pre" or "\n" in body else f"`{body}`")
-        elif kind == "markdown":
-            out.append(part)
-        else:
-            inner = (WIKI_CODE if kind == "wiki" else VERBATIM).match(part)
-            body = inner[2].strip("\n")
-            out.append(f"```\n{body}\n```")
-    return "".join(out), found
+    if "html" in found and has_html(events):
+        t = page_text(events, threshold)
+    return HELD.sub(lambda m: _code(*held[int(m[1])]) if int(m[1]) < len(held) else m[0], _plain(t, found)), found
+
+
+def _code(kind: str, part: str) -> str:
+    if kind in ("markdown", "inline"):
+        return part
+    if kind == "html":
+        m = CODE_TAG.match(part)
+        body = html.unescape(TAG.sub("", m[2]))
+        return f"```\n{body.strip(chr(10))}\n```" if m[1].lower() == "pre" or "\n" in body else f"`{body}`"
+    body = (WIKI_CODE if kind == "wiki" else VERBATIM).match(part)[2].strip("\n")
+    return f"```\n{body}\n```"
 
 
 def structure(text: str) -> list[dict]:
@@ -353,8 +466,8 @@ def without_markup(items: DataFrame, texts: bool = True) -> DataFrame:
     """(item_kind, item_key, markup, clean, structure) for every item with a text.
 
     markup lists the languages of which residue was found, in alphabetical order.
-    With texts=False clean and structure are null and only items with residue
-    are given. Null texts give no row; texts without residue are unchanged;
+    With texts=False clean and structure are not sent back and only items with
+    residue are given. Null texts give no row; texts without residue are unchanged;
     rows that repeat an item stay repeated.
     """
 
@@ -363,14 +476,10 @@ def without_markup(items: DataFrame, texts: bool = True) -> DataFrame:
         for b in batches:
             rows: list[list] = [[] for _ in types]
             for kind, key, text in zip(*(c.to_pylist() for c in b.columns)):
-                if texts:
-                    clean, found = clean_text(text)
-                    made = (kind, key, sorted(found), clean, structure(clean))
-                else:
-                    found = residue(text)
-                    if not found:
-                        continue
-                    made = (kind, key, sorted(found), None, None)
+                clean, found = clean_text(text)
+                if not (texts or found):
+                    continue
+                made = (kind, key, sorted(found), *((clean, structure(clean)) if texts else (None, None)))
                 for col, v in zip(rows, made):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], ["item_kind", "item_key", "markup", "clean", "structure"])

@@ -1,9 +1,10 @@
 import unicodedata
 
+import numpy as np
 import pytest
 
 from granary.llm.letterform import consistent_text
-from granary.llm.markup import clean_text, content_threshold, residue, split_code, structure, tag_ratios, without_markup
+from granary.llm.markup import clean_text, content_threshold, html_events, no_content, residue, smoothed_ratios, split_code, structure, without_markup
 
 CASES = [
     ("Кhi có", "Khi có"), ("ＳỐ：１２", "SỐ:12"), ("tha\u200bm\xadgia", "thamgia"), ("a\xa0b\u3000c", "a b c"), (unicodedata.normalize("NFD", "Điều ước"), "Điều ước"),
@@ -75,11 +76,45 @@ def test_clean_leaves_plain(text):
 
 
 def test_ratio_parts():
-    r = tag_ratios(["<a><b><i>", "một dòng dài có chữ"])
-    assert r[0] < r[1] and r[0] < content_threshold(r) < r[1]
+    r = smoothed_ratios(np.array([0.0, 3.0, 90.0, 95.0]), np.array([4, 2, 0, 1]))
+    assert r[0] < r[-1] and r[0] < content_threshold(r) < r[-1]
+    assert content_threshold(np.array([5.0, 5.0])) < 0 and content_threshold(np.array([5.0, 6.0])) < 0 and len(smoothed_ratios(np.zeros(0), np.zeros(0))) == 0
     assert "".join(p for _, p in split_code("a\n```\nx\n```\nb<pre>c</pre>")) == "a\n```\nx\n```\nb<pre>c</pre>"
 
 
+MENU = ['<ul class="menu">', '<li><a href="/">Trang chủ</a></li>', '<li><a href="/v">Văn bản</a> | <a href="/w">Tin</a></li>', '<li><a href="/l">Liên hệ</a></li>', "</ul>"]
+BODY = ["<p>" + "Nội dung của điều này dài hơn nhiều so với một mục. " * 4 + "</p>"] * 5
+
+
+def test_regions_choose_content():
+    text = "\n".join([*MENU, *BODY, '<p><a href="x">Xem Điều 5</a></p>', *BODY])
+    on, off = clean_text(text)[0], clean_text(text, threshold=lambda r: -1.0)[0]
+    assert "Trang chủ" in off and "Tin" in off
+    assert not any(x in on for x in ("Trang chủ", "Văn bản", "Tin", "Liên hệ")) and "Xem Điều 5" in on
+    assert on.count("Nội dung") == off.count("Nội dung") == 40
+    assert no_content(html_events("\n".join(MENU))) == set()  # nothing but a menu: no second cluster to tell it from
+    assert no_content(html_events("không có thẻ")) == set()
+
+
+@pytest.mark.parametrize(
+    "text, clean",
+    [
+        ("<table>\n<tr>\n<td>a</td>\n<td>b</td>\n</tr>\n<tr><td></td><td>c\nd</td></tr>\n</table>sau", "| a | b |\n|  | c d |\nsau"),
+        ("<ul>\n<li>\nmột</li>\n<li><p>hai</p></li>\n</ul>", "- một\n- hai"),
+        ("<script>if (a<b) { x('</b>') }</script>chữ<style>p {}</style>", "chữ"), ("<script>không đóng\n<b>đậm</b>", "không đóng\nđậm"),
+        ("<tr>dở\nhai", "dở\nhai"), ("x<br>y<br/>\nz", "x\ny\nz"), ("<h2>Đầu</h2>văn &amp; R&D; AT&T &foo; &#65;", "# Đầu\nvăn & R&D; AT&T &foo; A"),
+        ("1 <y 2 <z 3 &amp; 4", "1 <y 2 <z 3 & 4"), ("<b>a</b> <Truong> </Truong> </ 5 >", "a <Truong> </Truong> </ 5 >"), ("`<b>` <i>x</i>", "`<b>` x"),
+    ],
+)
+def test_page(text, clean):
+    got = "\n".join(x for x in clean_text(text)[0].split("\n") if x.strip())
+    assert got == clean
+
+
+def test_unclosed_constructs_take_linear_time():
+    assert clean_text("a <x" * 40_000)[0] == "a <x" * 40_000
+
+
 def test_frames(spark):
     df = spark.createDataFrame([("content", "1", "<p>a</p>"), ("content", "1", "<p>a</p>"), ("block", "2", None), ("block", "3", "b")], "item_kind string, item_key string, text string")
     assert sorted((r.item_key, r.clean.strip()) for r in without_markup(df).collect()) == [("1", "a"), ("1", "a"), ("3", "b")]
