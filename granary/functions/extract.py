@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from granary.functions.text import TYPE_ALTERNATION, col, let, squeeze, strip_edges
 
 #: What a document number looks like.
-LAW_ID = r"(?iu)(\d{1,4}/(?:\d{4}/)?(?:QH\d+|NĐ-CP|ND-CP|TT-[A-ZĐ]+|QĐ-[A-ZĐ]+|QD-[A-ZĐ]+|VBHN-[A-ZĐ]+|NQ-[A-ZĐ]+|CP|TTLT-[A-ZĐ-]+|PL-UBTVQH\d+|UBTVQH\d+))"
+LAW_ID = r"(?iu)(?<![\p{L}\p{N}_])(\d{1,4}/(?:\d{4}/)?(?:QH\d+|NĐ-CP|ND-CP|TT-[A-ZĐ]+|QĐ-[A-ZĐ]+|QD-[A-ZĐ]+|VBHN-[A-ZĐ]+|NQ-[A-ZĐ]+|CP|TTLT-[A-ZĐ-]+|PL-UBTVQH\d+|UBTVQH\d+))(?![\p{L}\p{N}_])"
 #: A document number of the wider form number/year/sign.
 ANY_NUMBER = r"(\d{1,4}/\d{4}/[A-ZĐ]{1,4}-[A-ZĐ]+\d*)"
+#: Fixed value: what an article number looks like.
 ARTICLE = r"(?iu)Điều\s+([0-9]+(?:\.[0-9A-Za-zĐđ]+)*)"
 
 
@@ -62,6 +63,7 @@ def citation_confidence(c: Column | str, ids: Column, titles: Column) -> Column:
 def source_note(c: Column | str) -> Column:
     """struct(law_type, law_code, doc_title, article_no) of a note that names its source."""
     word = rf"(?<![\p{{L}}\p{{N}}_])({TYPE_ALTERNATION})(?![\p{{L}}\p{{N}}_])"
+    #: What ends a title.
     stop = r"(?iu),\s*(có hiệu lực|hết hiệu lực|được sửa đổi|được bổ sung)|\s+ngày\s+\d{1,2}/\d{1,2}/\d{4}"
 
     def titled(t: Column, code: Column) -> Column:

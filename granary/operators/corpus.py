@@ -9,6 +9,11 @@ from granary.functions.text import squeeze
 from granary.session import plain_unions, written
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A tie-break among rows that differ: the hash of all columns (maps aside)."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()))
+
+
 def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first in `order`. Null keys form a group of their own."""
     w = Window.partitionBy(*key).orderBy(*order)
@@ -30,10 +35,10 @@ def latest_of_few(df: DataFrame, key: str, order: list[Column], most: int = 1_00
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of both by key; the new ones win."""
+    """Rows of both by key; the new ones win, of equals those with the lower hash."""
     plain_unions(old.sparkSession)
     both = old.withColumn("gen_", F.lit(0)).unionByName(new.withColumn("gen_", F.lit(1)), allowMissingColumns=True)
-    return latest(both, key, [F.col("gen_").desc()]).drop("gen_")
+    return latest(both, key, [F.col("gen_").desc(), row_hash(both)]).drop("gen_")
 
 
 def fill_status(meta: DataFrame, status: DataFrame, key: str = "id", column: str = "effect_status") -> DataFrame:

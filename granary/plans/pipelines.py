@@ -133,9 +133,9 @@ def build_report(units: DataFrame) -> DataFrame:
 
 
 def write_index(units: DataFrame, path: str, vectors: DataFrame | None = None) -> None:
-    """Units, postings and vectors as tables under `path`; units and vectors are found by id in one partition."""
+    """Units, their terms and vectors as tables under `path`; units are found by id in one partition."""
     writers.index_points(units.withColumnRenamed("id", "document_id").withColumnRenamed("chunk_id", "id"), f"{path}/units")
-    retrieval.postings(units.select(F.col("chunk_id").alias("id"), F.col("retrieval_text").alias("text"))).write.mode("overwrite").parquet(f"{path}/postings")
+    retrieval.tokens(units.select(F.col("chunk_id").alias("id"), F.col("retrieval_text").alias("text"))).write.mode("overwrite").parquet(f"{path}/terms")
     if vectors is not None:
         vectors.select("id", retrieval.normalised("embedding").alias("embedding")).write.mode("overwrite").parquet(f"{path}/vectors")
 
@@ -158,9 +158,9 @@ def search(spark: SparkSession, path: str, questions: DataFrame, config: SearchC
         v = spark.read.parquet(f"{path}/vectors")
         lists["dense"] = retrieval.dense_top_k(v.join(ids, "id", "left_semi") if where is not None else v, query_vectors, config.pool)
     if config.mode != "dense":
-        p = spark.read.parquet(f"{path}/postings")
+        t = spark.read.parquet(f"{path}/terms")
         docs = units.select("id", F.col("retrieval_text").alias("text"))
-        lists["sparse"] = retrieval.bm25_top_k(docs, questions, config.pool, index=p.join(ids, "id", "left_semi") if where is not None else p)
+        lists["sparse"] = retrieval.bm25_top_k(docs, questions, config.pool, index=t.join(ids, "id", "left_semi") if where is not None else t)
     if len(lists) == 2:
         hits = fusion.rrf(lists, config.pool, {"sparse": config.weights[0], "dense": config.weights[1]})
     else:

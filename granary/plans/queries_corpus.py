@@ -15,15 +15,17 @@ from granary.session import table
 def _meta(spark: SparkSession, d: str) -> DataFrame:
     """One row per act: the one crawled last, of equals by its text."""
     m = table(spark, d, "doc_metadata")
-    return corpus.latest(m, ["id"], [F.col("crawled_at").desc_nulls_last(), F.col("ingested_at").desc_nulls_last()])
+    return corpus.latest(m, ["id"], [F.col("crawled_at").desc_nulls_last(), F.col("ingested_at").desc_nulls_last(), corpus.row_hash(m)])
 
 
 def _content(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.latest_of_few(table(spark, d, "doc_content"), "id", [F.col("crawled_at").desc_nulls_last()])
+    c = table(spark, d, "doc_content")
+    return corpus.latest_of_few(c, "id", [F.col("crawled_at").desc_nulls_last(), corpus.row_hash(c)])
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.latest_of_few(table(spark, d, "chunks"), "chunk_id", [F.col("created_at").desc_nulls_last()])
+    c = table(spark, d, "chunks")
+    return corpus.latest_of_few(c, "chunk_id", [F.col("created_at").desc_nulls_last(), corpus.row_hash(c)])
 
 
 def metadata_enrich(spark: SparkSession, d: str) -> DataFrame:

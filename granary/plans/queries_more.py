@@ -70,7 +70,7 @@ def shared_articles(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (payload_filter, keyword_hits, domain_top, sector_counts, branch_rrf, subquery_plan, shared_articles)}
 
 _ART = "list_transform(regexp_extract_all(text, '(?i)Điều\\s+([0-9]+(?:\\.[0-9A-Za-zĐđ]+)*)', 1), lambda x: 'Điều ' || x)"
-_SPARSE = S.bm25(R.TEXTS, f"{R.TEXT_QUERIES} AND doc_id IN (SELECT vec_id FROM embeddings)", 15, keep_self=False)
+_SPARSE = S.bm25(R.TEXTS, R.TEXT_QUERIES, 15, keep_self=False)
 
 ORACLE_SQL = {
     "payload_filter": f"SELECT chunk_id, chunk_index, authority_code FROM ({CHUNKS}) WHERE chunk_method = 'tree_leaf' AND chunk_index BETWEEN 0 AND 3 AND list_contains({_ART}, 'Điều 2')",

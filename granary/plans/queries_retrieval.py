@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions.text import terms
 from granary.operators import fusion, retrieval
 from granary.plans import sql as S
-from granary.session import table
+from granary.session import table, written
 
 EVERY = 50
 
@@ -57,9 +57,8 @@ def _branches(spark: SparkSession, d: str, k: int = 20) -> dict[str, DataFrame]:
 
 
 def _rrf_sql(k: int, limit: int, wd: float, ws: float) -> str:
-    queries = f"{TEXT_QUERIES} AND doc_id IN (SELECT vec_id FROM embeddings)"
     return f"""
-        WITH dense AS ({_dense_sql(k)}), sparse AS (SELECT * FROM ({S.bm25(TEXTS, queries, k, keep_self=False)})),
+        WITH dense AS ({_dense_sql(k)}), sparse AS (SELECT * FROM ({S.bm25(TEXTS, TEXT_QUERIES, k, keep_self=False)})),
         x AS (SELECT qid, id, score, rank, 'dense' AS branch, {wd} AS w FROM dense UNION ALL SELECT qid, id, score, rank, 'sparse', {ws} FROM sparse),
         f AS (SELECT qid, id, round(sum(CAST(w AS DOUBLE) / ({fusion.RRF_K} + rank)), 9) AS score,
                      min(rank) FILTER (branch = 'dense') AS dense_rank, min(score) FILTER (branch = 'dense') AS dense_score,
@@ -95,7 +94,8 @@ def multi_query_rrf(spark: SparkSession, d: str) -> DataFrame:
     docs, q = _texts(spark, d)[0], _titles(spark, d).select("qid", terms("text").alias("t"))
     half = F.ceil(F.size("t") / 2).cast("int")
     parts = q.select("qid", F.array_join(F.slice("t", F.lit(1), half), " ").alias("a"), F.array_join(F.slice("t", half + 1, F.greatest(F.size("t"), F.lit(1))), " ").alias("b"))
-    lists = {n: retrieval.bm25_top_k(docs, parts.select("qid", F.col(n).alias("text")), 20) for n in ("a", "b")}
+    index = written(retrieval.tokens(docs), "terms")
+    lists = {n: retrieval.bm25_top_k(docs, parts.select("qid", F.col(n).alias("text")), 20, index=index) for n in ("a", "b")}
     return fusion.rrf(lists, 10)
 
 

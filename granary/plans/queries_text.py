@@ -55,6 +55,13 @@ def citation_extract(spark: SparkSession, d: str) -> DataFrame:
     return c.select("chunk_id", F.md5("text").alias("digest"), F.array_join(ids, ";").alias("law_ids"), F.array_join(X.article_numbers("text"), ";").alias("articles"), F.array_join(X.article_numbers("text", ordered=True), ";").alias("articles_in_order"))
 
 
+def law_id_extract(spark: SparkSession, d: str) -> DataFrame:
+    """Document numbers in chunks and in numbers that another sign is tied to, which are none."""
+    c = table(spark, d, "chunks").select("chunk_id", "text").distinct()
+    tied = F.regexp_replace("text", r"(\d{4}/[\p{L}]+-[\p{L}]+)", "$1 45/2019/CPX 123456/2020/QH14 7/2021/QH15,")
+    return c.select("chunk_id", F.md5("text").alias("digest"), F.array_join(X.law_ids("text"), ";").alias("law_ids"), F.array_join(X.law_ids(tied), ";").alias("with_tied"))
+
+
 def citation_confidence(spark: SparkSession, d: str) -> DataFrame:
     m = _meta(spark, d).select("id", "document_number", "title", "url").distinct()
     note = F.concat_ws(" ", "document_number", "title")
@@ -95,7 +102,7 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.array_join(F.array_sort(F.map_keys(p)), ",").alias("keys"), F.size(F.map_keys(p)).alias("n_keys"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_text, clean_content, marker_ratio, token_estimates, term_counts, citation_extract, citation_confidence, year_date_parse, stable_ids, uuid5_ids, citation_titles, document_contexts, json_props)}
+QUERIES = {f.__name__: f for f in (normalize_text, clean_content, marker_ratio, token_estimates, term_counts, citation_extract, law_id_extract, citation_confidence, year_date_parse, stable_ids, uuid5_ids, citation_titles, document_contexts, json_props)}
 
 _LINES = f"regexp_replace(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(160), ' '), {S.q(T.INLINE + '+')}, ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
 _CLEAN = _LINES.replace("(text,", "(content,")
@@ -117,6 +124,18 @@ def _year(c: str) -> str:
 
 _IDS = f"list_sort(list_distinct(list_transform(regexp_extract_all(text, '{NUMBER}', 1), lambda x: upper(x))))"
 _ART = f"list_transform(regexp_extract_all(text, '{ARTICLE_SQL}', 1), lambda x: 'Điều ' || x)"
+# no look-around here: each number is taken with the sign before it, and what follows is checked by taking one sign more
+_CODES = "QH[0-9]+|NĐ-CP|ND-CP|TT-[A-ZĐa-zđ]+|QĐ-[A-ZĐa-zđ]+|QD-[A-ZĐa-zđ]+|VBHN-[A-ZĐa-zđ]+|NQ-[A-ZĐa-zđ]+|CP|TTLT-[A-ZĐa-zđ-]+|PL-UBTVQH[0-9]+|UBTVQH[0-9]+"
+_TIED = "regexp_replace(text, '([0-9]{4}/[\\p{L}]+-[\\p{L}]+)', '\\1 45/2019/CPX 123456/2020/QH14 7/2021/QH15,', 'g')"
+
+
+def _law_ids(x: str) -> str:
+    """Runs of number signs, then those that are a document number as a whole."""
+    runs = f"regexp_extract_all(upper({x}), '[\\p{{L}}\\p{{N}}_/-]+')"
+    number = f"(?i)(?:^|[^\\p{{L}}\\p{{N}}_])([0-9]{{1,4}}/(?:[0-9]{{4}}/)?(?:{_CODES}))(?:$|[^\\p{{L}}\\p{{N}}_])"
+    return f"array_to_string(list_sort(list_distinct(list_filter(flatten(list_transform({runs}, lambda r: regexp_extract_all(r, '{number}', 1))), lambda v: v <> ''))), ';')"
+
+
 _NOTE = "concat_ws(' ', document_number, title)"
 _UPPER1 = "upper(t[1:1]) || t[2:]"
 _UUID = f"sha1(unhex('{URL_NS.hex}') || encode(chunk_id))"
@@ -131,6 +150,7 @@ ORACLE_SQL = {
         SELECT chunk_id, md5(text) AS digest, array_to_string({_IDS}, ';') AS law_ids, array_to_string(list_sort(list_distinct({_ART})), ';') AS articles,
                array_to_string(list_filter({_ART}, lambda x, i: list_position({_ART}, x) = i), ';') AS articles_in_order FROM (SELECT DISTINCT chunk_id, text FROM chunks)
     """,
+    "law_id_extract": f"SELECT chunk_id, md5(text) AS digest, {_law_ids('text')} AS law_ids, {_law_ids(_TIED)} AS with_tied FROM (SELECT DISTINCT chunk_id, text FROM chunks)",
     "citation_confidence": f"""
         WITH m AS (SELECT DISTINCT id, document_number, title, url, {S.squeeze(_NOTE)} AS note FROM doc_metadata),
         i AS (SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all({_NOTE}, '{NUMBER}', 1), lambda x: upper(x)))) AS ids FROM m),

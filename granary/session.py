@@ -20,6 +20,7 @@ DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+SPREAD_BYTES = 64 << 20
 _scratch: list[str] = []
 _tables: list[tuple[SparkSession, str]] = []
 
@@ -67,6 +68,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input dealt out to all cores, for work that is dear per row.
+
+    A file with one row group is read by one task however many cores there are.
+    Inputs of SPREAD_BYTES and more have row groups enough and are not shuffled.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BYTES else df
+
+
 def plain_unions(spark: SparkSession) -> None:
     """Lets unions forget their inputs' partitioning.
 

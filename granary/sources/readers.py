@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.text import squeeze
+from granary.sources.writers import exists
 
 QUESTION_KEYS = ("question", "query", "text")
 ID_KEYS = ("id", "question_id", "qid")
@@ -24,7 +25,7 @@ def parquet(spark: SparkSession, path: str, columns: list[str] | None = None, wi
 
 def csv_text(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A CSV with a header, every column a string; a missing file is an empty table of `columns`."""
-    if "://" not in path and not os.path.exists(path):
+    if not exists(spark, path):
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import json
-import os
 import zipfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REPORT_ROWS = 100_000
@@ -50,19 +49,25 @@ def flat_zip(path: str, archive: str, name: str = "results.json") -> None:
         z.write(path, name)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any file system that Spark knows is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def resume(df: DataFrame, done_path: str, key: str) -> DataFrame:
-    """The rows whose key isn't in the table at done_path; all of them if there is none."""
-    if "://" not in done_path and not os.path.exists(done_path):
+    """The rows whose key isn't in the table at done_path; all of them if there is none. A null key counts as a key."""
+    spark = df.sparkSession
+    if not exists(spark, done_path):
         return df
-    done = df.sparkSession.read.parquet(done_path).select(key).distinct()
-    return df.join(done, key, "left_anti")
+    done = spark.read.parquet(done_path).select(F.col(key).alias("done_")).distinct()
+    return df.join(done, F.col(key).eqNullSafe(F.col("done_")), "left_anti")
 
 
 def append_new(df: DataFrame, path: str, key: str) -> int:
-    """Appends the rows with new keys, one per key; returns their number."""
-    fresh = resume(df.dropDuplicates([key]), path, key)
-    fresh.write.mode("append").parquet(path)
-    return df.sparkSession.read.parquet(path).join(df.select(key).distinct(), key, "left_semi").count()
+    """Appends the rows with new keys, one per key; returns how many of the keys the table then has."""
+    resume(df.dropDuplicates([key]), path, key).write.mode("append").parquet(path)
+    return df.sparkSession.read.parquet(path).join(df.select(F.col(key).alias("key_")).distinct(), F.col(key).eqNullSafe(F.col("key_")), "left_semi").count()
 
 
 def index_points(df: DataFrame, path: str, buckets: int = 64, key: str = "id") -> None:

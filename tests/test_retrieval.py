@@ -114,3 +114,29 @@ def test_select_listed(spark):
 def test_ordered_refs(spark):
     df = spark.createDataFrame([(1, 1, "b"), (1, 2, "a"), (1, 3, "b"), (1, 4, "")], "q int, rank int, r string")
     assert fusion.ordered_refs(df, "q", F.col("r")).first().refs == ["b", "a"]
+
+
+def test_small_blocks_give_the_same(spark, monkeypatch):
+    rng = random.Random(2)
+    docs = [(f"d{i}", " ".join(rng.choices(["chung", *(f"t{j}" for j in range(30))], k=rng.randint(0, 25)))) for i in range(120)]
+    d = spark.createDataFrame(docs, "id string, text string").repartition(3)
+    q = spark.createDataFrame([(f"d{i}", docs[i][1]) for i in range(40)] + [("d1", "chung t1"), ("x", None)], "qid string, text string")
+    v = spark.createDataFrame([(f"v{i}", [float(rng.randint(0, 3)) for _ in range(3)]) for i in range(90)], "id string, embedding array<float>")
+    asked = v.limit(30).withColumnRenamed("id", "qid")
+
+    def both():
+        return sorted(map(tuple, retrieval.bm25_top_k(d, q, 4, keep_self=False).collect())), sorted(map(tuple, retrieval.dense_top_k(v, asked, 4).collect()))
+
+    whole = both()
+    for name, value in {"QUERY_TERMS": 100, "QUERY_BYTES": 240, "BLOCK": 7, "CELLS": 50, "KEPT_ROWS": 3}.items():
+        monkeypatch.setattr(retrieval, name, value)
+    small = both()
+    assert small == whole and len(whole[0]) > 140 and len(whole[1]) > 100
+    assert retrieval.bm25_top_k(d, q, 4, keep_self=False, index=retrieval.tokens(d)).count() == len(whole[0])
+
+
+def test_dimension_is_the_commonest(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [0.0, 1.0])], "qid bigint, embedding array<float>")
+    v = spark.createDataFrame([(7, [1.0, 1.0]), (8, [2.0])], "id bigint, embedding array<float>")
+    assert {r.qid for r in retrieval.dense_top_k(v, q, 2).collect()} == {1, 3}
+    assert {(r.qid, r.id) for r in retrieval.dense_top_k(v, q, 2, size=1).collect()} == {(2, 8)}

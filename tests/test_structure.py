@@ -105,3 +105,73 @@ def test_heading_segments(spark):
 @pytest.mark.parametrize("line, yes", [("QUY ĐỊNH CHUNG", True), ("Quy định chung", False), ("DANH MỤC.", False), ("", False), ("x" * 300, False)])
 def test_is_title(line, yes):
     assert H.is_title(line) is yes
+
+
+def test_capital_line_near_the_top_is_a_heading():
+    n = H.parse("BỘ TRƯỞNG\nĐiều 1. A")
+    assert [(b["type"], b["text"]) for b in n[0].blocks] == [("heading", "BỘ TRƯỞNG")]
+
+
+def test_caption_goes_back_over_tables():
+    n = H.parse("TÊN BẢNG\n| a |\n| 1 |\n\n| b |\n| 2 |\nthường\n| c |")
+    assert [b["caption"] for b in n[0].blocks if b["type"] == "table"] == ["TÊN BẢNG", "TÊN BẢNG", ""]
+
+
+@pytest.mark.parametrize("line, yes", [("KT. BỘ TRƯỞNG", False), ("KT.BỘ TRƯỞNG", True), ("Bộ trưởng", True), ("Bộ trưởngx", False), ("Nơi nhận:", True), ("Chủ tịch,", True)])
+def test_is_closing(line, yes):
+    assert H.is_closing(line) is yes
+
+
+def test_table_after_signatures_opens_an_appendix():
+    n = H.parse("Nơi nhận:\n| Tải về | x |\n| TT | Tên |")
+    assert [x.kind for x in n] == ["document", "footer", "appendix"] and n[2].label == H.AFTER_SIGNATURES
+    assert n[2].blocks[0]["type"] == "attachment"
+
+
+def test_marks_need_their_parents():
+    assert [x.kind for x in H.parse("1. a\na) b\n- c")] == ["document"]
+    assert [x.kind for x in H.parse("Phụ lục I\nMục 1\nĐiều 1\n1. a\n- b\nI. Phần\nDanh mục x")][1:] == ["appendix", "section", "article", "clause", "subpoint", "appendix_section", "appendix"]
+
+
+def test_leaf_goes_down_the_separators():
+    p = C.split_marked("1.1. đoạn một, đoạn hai; đoạn ba, đoạn bốn; đoạn năm, đoạn sáu", 12, 0)
+    assert len(p) > 1 and all(x[0][-1] in ",;." for x in p[:-1])
+    assert [x[0] for x in C.split_marked("1. " + "một " * 30, 10, 0)][1] == " ".join(["một"] * 8)
+    p = C.split_marked("1.1. " + " ".join(f"nội dung {i}." for i in range(30)), 20, 3)
+    assert p[0][0].startswith("1.1. nội dung")
+    assert C.split_marked("1.3. Tổ chức chính trị - xã hội, tổ chức xã hội nghề nghiệp.", 8, 2)[0][1] == ["1.3"]
+    p = C.split_marked("1. Cha là. 1.1. Lập hồ sơ một. 1.2. Nộp báo cáo hai. 1.3. Lưu chứng từ ba.", 18, 0)
+    assert [(x[1], x[2]) for x in p] == [(["1", "1.1", "1.2"], "tree_packed"), (["1", "1.3"], "tree_subtree")]
+
+
+def test_overlap_of_a_long_last_sentence_is_its_end():
+    text = "a b c d e f g h. i j k l m n o p. q r s t."
+    assert C.split_text(text, 9, 2, lambda t: len(t.split())) == ["a b c d e f g h.", "i j k l m n o p.", "o p. q r s t."]
+
+
+def test_long_article_in_linear_time():
+    text = "\n".join(f"Điều {i}. T\n1. một hai" for i in range(3000))
+    assert len(C.chunk_tree(H.parse(text), 300)) == 3000
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["Điều 1. T", "1. " + "x " * 90, "2. y", "a) " + "z " * 150, "b) t", "- u", "chữ " * 40, "| A | B |", "| 1 | 2 |", ""]), max_size=30))
+def test_chunks_cover_articles(lines):
+    nodes = H.parse("\n".join(lines), "T", "1")
+    words = lambda t: len(t.split())
+    chunks = C.chunk_tree(nodes, 170, 0, 2, words)
+    inside = [b["text"] for n in nodes if any(x.kind == "article" for x in n.chain) and n.kind in C.INDEXED for b in n.blocks if b["type"] == "text"]
+    assert "".join("".join(C.surface(n, b["text"]).split()) for n in nodes if any(x.kind == "article" for x in n.chain) for b in n.blocks if b["type"] == "text") == "".join("".join(c["text"].split()) for c in chunks if c["chunk_type"] not in ("table_chunk", "article_title_chunk")) or not inside
+    assert all(words(c["text"]) <= 170 for c in chunks)
+
+
+def test_audit(spark):
+    from granary.operators import audit
+
+    d = spark.createDataFrame([(1, "Điều 1. A\n| Điều 2 |\nSố Điều 3\nMục 1\nLẠ LÙNG"), (2, None)], "id int, t string")
+    n = H.parse_documents(d.selectExpr("id", "t", "'' title", "'' number"), "id", "t")
+    got = {r.node_type: (r.n_lines, r.n_nodes, r.n_differing) for r in audit.raw_against_tree(d, n, "id", "t").collect()}
+    assert got["article"] == (1, 1, 0) and got["section"] == (1, 1, 0) and got["part"] == (0, 0, 0)
+    assert [tuple(r) for r in audit.unknown_headings(d, "id", "t", "^Điều").collect()] == [("LẠ LÙNG", 1, 1)]
+    x = spark.createDataFrame([("b", 1), ("a", 2), ("a", 3), ("b", 4), ("c", 5)], "v string, p int")
+    assert [(r.v, r["count"], r["rank"]) for r in audit.most_common(x, "v", ["p"], 2).orderBy("rank").collect()] == [("b", 2, 1), ("a", 2, 2)]
