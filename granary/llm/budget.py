@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.encode import Encoder
 from granary.llm.pretokens import pretokens, row_slices
 from granary.llm.vocab import load_ranks, vocab_path
 
@@ -84,13 +85,17 @@ class LongestMatch:
         return n
 
 
-def estimated_tokens(df: DataFrame, text: str, out: str = "n_tokens", vocab: str = VOCAB, folder: str | None = None) -> DataFrame:
-    """`df` without `text`, with the longest-match token count (0 for empty and null)."""
+def estimated_tokens(df: DataFrame, text: str, out: str = "n_tokens", vocab: str = VOCAB, folder: str | None = None, exact: str | None = None) -> DataFrame:
+    """`df` without `text`, with the longest-match token count (0 for empty and null).
+
+    `exact` names a further column with the count by pair merging.
+    """
     path = vocab_path(vocab, folder)
-    rest = [f for f in df.schema.fields if f.name not in (text, out)]
+    rest = [f for f in df.schema.fields if f.name not in (text, out, exact)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = LongestMatch(load_ranks(path)), {}
+        encoder = Encoder(path) if exact else None
 
         def of(piece: bytes) -> int:
             got = known.get(piece)
@@ -101,22 +106,25 @@ def estimated_tokens(df: DataFrame, text: str, out: str = "n_tokens", vocab: str
             return got
 
         for b in batches:
-            counts = [np.zeros(0, np.int64)]
+            counts, merged = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for part in row_slices(b.column(len(rest))):
                 tokens, rows = pretokens(part)
                 coded = tokens.dictionary_encode()
                 each = np.fromiter(map(of, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
                 total = np.concatenate([[0], np.cumsum(each[coded.indices.to_numpy(zero_copy_only=False)])])
                 counts.append(np.diff(total[rows]))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(np.concatenate(counts), pa.int64())], [*(f"c{i}" for i in range(len(rest))), "n_"])
+                if encoder:
+                    merged.append(encoder.counts(part))
+            more = [pa.array(np.concatenate(x), pa.int64()) for x in ([counts, merged] if encoder else [counts])]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], *more], [*(f"c{i}" for i in range(len(rest))), "n_", "e_"][: len(rest) + len(more)])
 
-    schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rest)), "n_ bigint"])
+    schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rest)), "n_ bigint", *(["e_ bigint"] if exact else [])])
     got = df.select(*(F.col(f"`{f.name}`") for f in rest), F.col(text).cast("string")).mapInArrow(run, schema)
-    return got.toDF(*(f.name for f in rest), out)
+    return got.toDF(*(f.name for f in rest), out, *([exact] if exact else []))
 
 
-def token_budget(chunks: DataFrame, acts: DataFrame, sectors: DataFrame, vocab: str = VOCAB, folder: str | None = None) -> DataFrame:
-    """Token and chunk totals per slice: (slice, key1, key2, n_chunks, n_tokens, n_chars).
+def token_budget(chunks: DataFrame, acts: DataFrame, sectors: DataFrame, vocab: str = VOCAB, folder: str | None = None, exact: bool = False) -> DataFrame:
+    """Token and chunk totals per slice: (slice, key1, key2, n_chunks, n_tokens, n_chars), with `exact` also n_exact by pair merging.
 
     slice is `site_lang` (key1 = source_site, key2 = lang of the act),
     `legal_type` (key1, in lower case without outer space) or `sector` (key1, one
@@ -126,14 +134,15 @@ def token_budget(chunks: DataFrame, acts: DataFrame, sectors: DataFrame, vocab:
     latest; rows that repeat an act's id are one act, the latest. Null chunk_ids
     count row by row.
     """
-    t = estimated_tokens(chunks.select("chunk_id", "document_id", "created_at", "legal_type", F.length("text").alias("n_chars"), "text"), "text", vocab=vocab, folder=folder)
-    row = F.struct("created_at", "n_tokens", "n_chars", "document_id", "legal_type")
+    t = estimated_tokens(chunks.select("chunk_id", "document_id", "created_at", "legal_type", F.length("text").alias("n_chars"), "text"), "text", vocab=vocab, folder=folder, exact="n_exact" if exact else None)
+    sums = ["n_tokens", "n_chars", *(["n_exact"] if exact else [])]
+    row = F.struct("created_at", *sums, "document_id", "legal_type")
     one = t.filter("chunk_id is not null").groupBy("chunk_id").agg(F.max(row).alias("r")).select("chunk_id", "r.*")
     one = one.unionByName(t.filter("chunk_id is null"))
     act = acts.groupBy("id").agg(F.max(F.struct("crawled_at", "source_site", "lang")).alias("a")).select(F.col("id").alias("document_id"), "a.source_site", "a.lang")
     slices = sectors.groupBy("chunk_id").agg(F.collect_set("sector").alias("names"))
     joined = one.join(slices, "chunk_id", "left")
-    per_act = joined.groupBy("document_id", "legal_type", "names").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_chars").alias("n_chars"))
+    per_act = joined.groupBy("document_id", "legal_type", "names").agg(F.count(F.lit(1)).alias("n_chunks"), *(F.sum(c).alias(c) for c in sums))
     wide = per_act.join(act, "document_id", "left")
     entry = lambda kind, a, b: F.struct(F.lit(kind).alias("slice"), a.alias("key1"), b.alias("key2"))
     none = F.lit(None).cast("string")
@@ -142,7 +151,7 @@ def token_budget(chunks: DataFrame, acts: DataFrame, sectors: DataFrame, vocab:
         F.transform(F.coalesce("names", F.array(none)), lambda s: entry("sector", s, none)),
     )
     return (
-        wide.select(F.explode(entries).alias("e"), "n_chunks", "n_tokens", "n_chars")
+        wide.select(F.explode(entries).alias("e"), "n_chunks", *sums)
         .groupBy("e.slice", "e.key1", "e.key2")
-        .agg(F.sum("n_chunks").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_chars").alias("n_chars"))
+        .agg(F.sum("n_chunks").alias("n_chunks"), *(F.sum(c).alias(c) for c in sums))
     )

@@ -76,6 +76,16 @@ class Encoder:
         index = np.repeat(begin[use] - out[:-1], size) + np.arange(out[-1])
         return pa.ListArray.from_arrays(pa.array(out[rows].astype(np.int32)), pa.array(flat[index]))
 
+    def ends(self, ids: pa.Array) -> pa.Array:
+        """list<int32>: the byte of its text at which each id ends."""
+        if not hasattr(self, "size"):
+            self.size = np.zeros(max(self.ranks.values()) + 1, np.int64)
+            self.size[list(self.ranks.values())] = [len(t) for t in self.ranks]
+        at, flat = ids.offsets.to_numpy(), ids.flatten().to_numpy()
+        total = np.concatenate([[0], np.cumsum(self.size[flat])])
+        row = np.repeat(total[at[:-1] - at[0]], np.diff(at))
+        return pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), pa.array((total[1:] - row).astype(np.int32)))
+
     def counts(self, arr: pa.Array) -> np.ndarray:
         """Number of ids per row."""
         tokens, rows = pretokens(arr)
@@ -85,12 +95,14 @@ class Encoder:
         return np.diff(total[rows])
 
 
-def token_ids(df: DataFrame, key: str, text: str, vocab: str = VOCAB, folder: str | None = None) -> DataFrame:
+def token_ids(df: DataFrame, key: str, text: str, vocab: str = VOCAB, folder: str | None = None, offsets: bool = False) -> DataFrame:
     """(key, ids) for every row of `df`, without special tokens.
 
     Empty and null texts give an empty list; strings that look like special
     tokens are ordinary text. Repeated rows stay repeated; an empty table gives
-    an empty one. Decoding the ids gives back the text's bytes.
+    an empty one. Decoding the ids gives back the text's bytes. With `offsets`
+    there is also `ends`, the byte of the text at which each token ends, so that
+    tokens map back to their places.
     """
     path = vocab_path(vocab, folder)
 
@@ -99,11 +111,30 @@ def token_ids(df: DataFrame, key: str, text: str, vocab: str = VOCAB, folder: st
         for b in batches:
             at = 0
             for part in row_slices(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), e.encode(part)], ["k_", "ids"])
+                ids = e.encode(part)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), ids, *([e.ends(ids)] if offsets else [])], ["k_", "ids", "ends"][: 2 + offsets])
                 at += len(part)
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"k_ {kind}, ids array<int>").withColumnRenamed("k_", key)
+    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"k_ {kind}, ids array<int>" + (", ends array<int>" if offsets else "")).withColumnRenamed("k_", key)
+
+
+def decode(df: DataFrame, key: str, ids: str, vocab: str = VOCAB, folder: str | None = None) -> DataFrame:
+    """(key, text): the texts of lists of ids; null and empty lists give an empty text.
+
+    Bytes of a cut list that are no whole characters become U+FFFD; an id
+    outside the vocabulary is an error.
+    """
+    path = vocab_path(vocab, folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = {i: t for t, i in load_ranks(path).items()}
+        for b in batches:
+            texts = [b"".join(back[i] for i in x or ()).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["k_", "text"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key), F.col(ids)).mapInArrow(run, f"k_ {kind}, text string").withColumnRenamed("k_", key)
 
 
 def token_counts(df: DataFrame, text: str, out: str = "n_tokens", vocab: str = VOCAB, folder: str | None = None) -> DataFrame:

@@ -151,3 +151,22 @@ def mix_sources(counts: DataFrame, targets: DataFrame, total_tokens: float | Non
     shares = goal.join(have, "source", "left").join(got, "source", "left").join(F.broadcast(all_tokens))
     shares = shares.select("source", "target_share", F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)).alias("actual_share"), zero("available_tokens").alias("available_tokens"), zero("tokens").alias("tokens"), zero("n_docs").alias("n_docs"), zero("max_copies").alias("max_copies"))
     return chosen, shares
+
+
+def marginals(counts: DataFrame, chosen: DataFrame, targets: DataFrame) -> DataFrame:
+    """(dimension, value, wanted, reached): shares of all tokens by source, lang and topic.
+
+    Wanted are a source's target among the sources that have tokens, and a
+    language's and topic's share of those sources' tokens, each text of a source
+    once. Where a cap or a source's target leaves no room, reached differs.
+    """
+    goal = targets.filter("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("target"))
+    one = counts.filter("n_tokens > 0").join(F.broadcast(goal), "source")
+    # the row of a text that mix_sources keeps
+    have = one.groupBy("source", "text_key").agg(F.min(F.struct("doc_id", "lang", "topic", "n_tokens")).alias("r"), F.first("target").alias("target")).select("source", "r.*", "target")
+    j = have.join(chosen.select("doc_id", "copies"), "doc_id", "left").withColumn("used", F.col("n_tokens") * F.coalesce("copies", F.lit(0)))
+    entry = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in ("source", "lang", "topic")))
+    g = j.select(F.explode(entry).alias("e"), "n_tokens", "used", "target").groupBy("e.dimension", "e.value").agg(F.sum("n_tokens").alias("n"), F.sum("used").alias("u"), F.max("target").alias("target"))
+    w = Window.partitionBy("dimension")
+    base = F.when(F.col("dimension") == "source", F.col("target")).otherwise(F.col("n"))
+    return g.select("dimension", "value", (base / F.sum(base).over(w)).alias("wanted"), F.coalesce(F.col("u") / F.nullif(F.sum("u").over(w), F.lit(0)), F.lit(0.0)).alias("reached"))

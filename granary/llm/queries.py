@@ -64,11 +64,21 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return meta.unionByName(letterform.consistent_text(table(spark, d, "doc_content"), "id", ["content"])).distinct()
 
 
-def p6_budget(spark: SparkSession, d: str) -> DataFrame:
+def _budget(spark: SparkSession, d: str, exact: bool) -> DataFrame:
     chunks = table(spark, d, "chunks")
     values = explode_packed(chunks.select("chunk_id", "legal_sectors"), "chunk_id", {"legal_sectors": {"names": sector_names(spark, d), "dash": True}})
     sectors = values.select("chunk_id", F.lower("val").alias("sector"))
-    return budget.token_budget(chunks, table(spark, d, "doc_metadata"), sectors)
+    return budget.token_budget(chunks, table(spark, d, "doc_metadata"), sectors, exact=exact)
+
+
+def p6_budget(spark: SparkSession, d: str) -> DataFrame:
+    return _budget(spark, d, False)
+
+
+def p6_error(spark: SparkSession, d: str) -> DataFrame:
+    """The estimated totals of each slice against the vocabulary's own pair-merge counts."""
+    b = _budget(spark, d, True)
+    return b.select("slice", "key1", "key2", "n_chunks", "n_tokens", "n_exact", F.round(F.col("n_tokens") / F.col("n_exact") - 1, 6).alias("error"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -85,9 +95,21 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.token_ids(table(spark, d, "documents"), "doc_id", "text")
 
 
-def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts rebuilt from their ids and from the places of their tokens."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    coded = encode.token_ids(docs, "doc_id", "text", offsets=True)
+    out = encode.decode(coded.select("doc_id", "ids"), "doc_id", "ids").join(coded.select("doc_id", F.size("ids").alias("n"), F.size("ends").alias("n_ends"), F.coalesce(F.get("ends", F.size("ends") - 1), F.lit(0)).alias("n_bytes")), "doc_id")
+    return out.select("doc_id", F.md5("text").alias("digest"), (F.col("n") == F.col("n_ends")).alias("placed"), "n_bytes")
+
+
+def _counts(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", F.lower("lang").alias("lang"), F.lower(F.trim("legal_type")).alias("topic"), F.md5("text").alias("text_key"), "text")
-    return mixing.mix_sources(encode.token_counts(docs, "text"), table(spark, d, "mix_targets"))
+    return encode.token_counts(docs, "text")
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix_sources(_counts(spark, d), table(spark, d, "mix_targets"))
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -98,6 +120,25 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p9_marginals(spark: SparkSession, d: str) -> DataFrame:
+    """How near the mix comes to the wanted shares of sources, languages and topics."""
+    counts, targets = written(_counts(spark, d), "counts"), table(spark, d, "mix_targets")
+    return mixing.marginals(counts, mixing.mix_sources(counts, targets)[0], targets)
+
+
+#: Fixed values of these data: the subject area each sector code is filed under.
+SECTOR_SUBJECT = {
+    "land": ["S01", "S02", "S03"], "labour": ["S04", "S05", "S06"], "tax": ["S07", "S08", "S09"], "enterprise": ["S10", "S11", "S12"], "health": ["S13", "S14", "S15"], "education": ["S16", "S17", "S18"],
+    "environment": ["S19", "S20", "S21"], "transport": ["S22", "S23", "S24"], "justice": ["S25", "S26", "S27"], "software": ["S28", "S29", "S30"], "sport": ["S31", "S32"], "science": ["S33", "S34", "S35"],
+}
+
+
+def sector_subjects(spark: SparkSession, d: str) -> DataFrame:
+    """(sector_name, subject): the table of what each sector is filed under."""
+    pairs = spark.createDataFrame([(c, s) for s, codes in SECTOR_SUBJECT.items() for c in codes], "sector_code string, subject string")
+    return table(spark, d, "sector_list").join(F.broadcast(pairs), "sector_code").select("sector_name", "subject")
+
+
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
     acts = table(spark, d, "doc_metadata")
     names = sorted(r.subject for r in table(spark, d, "subject_areas").select("subject").distinct().limit(subjects.MAX_SUBJECTS + 1).collect())
@@ -105,7 +146,7 @@ def _subjects(spark: SparkSession, d: str) -> DataFrame:
         raise ValueError("more subject areas than a model may have")
     act_sectors = explode_packed(acts, "id", {"legal_sectors": {"names": sector_names(spark, d), "dash": True}}).select("id", "val")
     docs = table(spark, d, "documents")
-    model = subjects.fit_subjects(table(spark, d, "doc_content"), acts, act_sectors, table(spark, d, "sector_list"), docs, table(spark, d, "subject_labels"), names)
+    model = subjects.fit_subjects(table(spark, d, "doc_content"), acts, act_sectors, sector_subjects(spark, d), docs, table(spark, d, "subject_labels"), names)
     return subjects.subject_areas(docs, model)
 
 
@@ -117,7 +158,7 @@ def p10_makeup(spark: SparkSession, d: str) -> DataFrame:
     return subjects.corpus_makeup(written(_subjects(spark, d), "subjects"), table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_forms, p6_budget, p7_found, p7_clean, p8_ids, p9_mix, p9_shares, p10_found, p10_makeup)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_forms, p6_budget, p6_error, p7_found, p7_clean, p8_ids, p8_decoded, p9_mix, p9_shares, p9_marginals, p10_found, p10_makeup)}
 
 
 
@@ -135,6 +176,7 @@ def _forms_sql(relation: str, fields: list[str]) -> str:
 _FORMS = f"SELECT * FROM ({_forms_sql('doc_metadata', ['title', 'issuing_authority'])}) UNION SELECT * FROM ({_forms_sql('doc_content', ['content'])})"
 
 ORACLE_SQL = {
+    "p8_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest, true AS placed, CAST(octet_length(encode(coalesce(text, ''))) AS INTEGER) AS n_bytes FROM documents",
     "p4_forms": _FORMS,
     "p4_found": f"SELECT DISTINCT id, field_name FROM ({_FORMS}) WHERE affected",
     "p2_found": """

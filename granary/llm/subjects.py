@@ -9,18 +9,19 @@ labels are first brought down to sentences, each to one of its document's labels
 or to general language; the classifiers are fitted on these. Thresholds per
 subject come from held-out hand labels.
 
-The fit uses at most `max_acts` acts of each language and `max_documents`
-labelled documents (the lowest hashes of their ids); everything else covers all documents.
+The fit uses a bounded sample of acts of each language and of labelled documents
+(the lowest hashes of their ids); everything else covers all documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.pretokens import row_slices
@@ -28,26 +29,24 @@ from granary.llm.words import PRIME, Words, mix
 
 DIMENSIONS = 1 << 20
 LEAST_COUNT = 3
+#: A stop after fewer words of its own ends no sentence (abbreviations, numbering, labels).
 LEAST_WORDS = 4
 LEAST_SENTENCES = 100
 SHARE = 0.25
 MAX_ACTS, MAX_DOCUMENTS = 400, 2400
-MAX_CHARS = 1 << 26
+#: The sample of a language, and that of the labelled documents, end where their texts exceed so many characters.
+MAX_FIT_CHARS = 1 << 23
 #: More classes make the weights too large for a task; such a list is an error.
 MAX_SUBJECTS = 1000
-
-#: The subject area each sector code is filed under.
-SECTOR_SUBJECT = {
-    "land": ["S01", "S02", "S03"], "labour": ["S04", "S05", "S06"], "tax": ["S07", "S08", "S09"], "enterprise": ["S10", "S11", "S12"], "health": ["S13", "S14", "S15"], "education": ["S16", "S17", "S18"],
-    "environment": ["S19", "S20", "S21"], "transport": ["S22", "S23", "S24"], "justice": ["S25", "S26", "S27"], "software": ["S28", "S29", "S30"], "sport": ["S31", "S32"], "science": ["S33", "S34", "S35"],
-}
+THREADS, BLOCK = 4, 1 << 20
 
 
 def sentence_features(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, offsets by sentence, row of each sentence): hashed 1- to 3-grams, with and without accents.
 
-    Words with a digit are one word. Sentences of fewer than LEAST_WORDS words
-    are left out.
+    Words with a digit are one word. A run of fewer than LEAST_WORDS words goes
+    with the sentence after it, at a text's end with the one before, so every
+    word is in a sentence; a text of fewer words is one sentence.
     """
     w = Words(arr, plain=True, sentences=True)
     n = len(w.hash)
@@ -56,14 +55,22 @@ def sentence_features(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
     number = np.uint64(0x23)
     new = np.append(True, (w.sentence[1:] != w.sentence[:-1]) | (w.row[1:] != w.row[:-1]))
     begin = np.flatnonzero(new)
-    size = np.diff(np.append(begin, n))
-    keep = size >= LEAST_WORDS
-    sentence = np.repeat(np.cumsum(keep) - 1, size)
-    use = np.repeat(keep, size)
-    sentence, row = sentence[use], w.row[begin[keep]]
+    row = w.row[begin]
+    long = np.diff(np.append(begin, n)) >= LEAST_WORDS
+    # a sentence ends with a long run or with its text
+    last = np.append(row[1:] != row[:-1], True)
+    ends = long | last
+    has_long = np.bincount(row, long, w.rows)[row] > 0
+    ends &= ~(last & ~long & has_long)
+    place = np.cumsum(ends) - ends
+    # what a text's end leaves open belongs to the sentence before
+    open_ = (np.cumsum(long[::-1])[::-1] - np.concatenate([np.cumsum(np.bincount(row, long, w.rows)[::-1])[::-1], [0]])[row + 1]) == 0
+    place = np.where(open_ & has_long, place - 1, place)
+    sentence = np.repeat(place, np.diff(np.append(begin, n)))
+    row = row[np.flatnonzero(np.append(True, place[1:] != place[:-1]))]
     cols, owners = [], []
     for salt, h in ((1, w.hash), (2, w.plain)):
-        h = np.where(w.digit, number, h)[use]
+        h = np.where(w.digit, number, h)
         g = np.full(len(h), salt, np.uint64)
         for k in range(3):
             g = g[: len(h) - k] * np.uint64(PRIME) + h[k:] if len(h) > k else g[:0]
@@ -128,20 +135,26 @@ def sentence_labels(col: np.ndarray, at: np.ndarray, allowed: np.ndarray, rounds
     size = np.diff(at)
     with np.errstate(divide="ignore"):
         logged = np.log(prior)
-    for _ in range(rounds):
-        table = np.empty((m, k), np.float32)
-        for c in range(k):
-            count = np.bincount(col, np.repeat(resp[:, c], size), minlength=m) + alpha
-            table[:, c] = np.log(count / count.sum())
-        table -= table.mean(axis=1, keepdims=True)
-        score = np.empty((n, k))
-        for i in range(0, n, 4096):
-            j = min(i + 4096, n)
-            score[i:j] = _sums(table[col[at[i] : at[j]]], at[i : j + 1] - at[i])
-        score = temper * score + logged
-        score -= score.max(axis=1, keepdims=True)
-        resp = np.exp(score)
-        resp /= resp.sum(axis=1, keepdims=True)
+    blocks = [(i, min(i + 2048, n)) for i in range(0, n, 2048)]
+    with ThreadPoolExecutor(THREADS) as pool:
+        for _ in range(rounds):
+            table, score = np.empty((m, k), np.float32), np.empty((n, k))
+
+            def count_class(c: int) -> None:
+                count = np.bincount(col, np.repeat(resp[:, c], size), minlength=m) + alpha
+                table[:, c] = np.log(count / count.sum())
+
+            def score_block(span: tuple[int, int]) -> None:
+                i, j = span
+                score[i:j] = _sums(table[col[at[i] : at[j]]], at[i : j + 1] - at[i])
+
+            list(pool.map(count_class, range(k)))
+            table -= table.mean(axis=1, keepdims=True)
+            list(pool.map(score_block, blocks))
+            score = temper * score + logged
+            score -= score.max(axis=1, keepdims=True)
+            resp = np.exp(score)
+            resp /= resp.sum(axis=1, keepdims=True)
     return resp
 
 
@@ -161,20 +174,33 @@ def fit_linear(col: np.ndarray, at: np.ndarray, y: np.ndarray, steps: int = 60,
     slot = np.where(use, np.cumsum(use) - 1, -1).astype(np.int32)
     few, begin = _thin(col, at, slot)
     m = int(use.sum())
-    owner = np.repeat(np.arange(n), np.diff(begin))
-    scale = (1 / np.sqrt(np.maximum(np.diff(begin), 1)))[owner]
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(begin))
+    scale = (1 / np.sqrt(np.maximum(np.diff(begin), 1))).astype(np.float32)
+    # whole sentences of about BLOCK n-grams each
+    cuts = np.unique(np.append(np.searchsorted(begin, np.arange(0, len(few), BLOCK), "right") - 1, n)) if n else np.zeros(1, int)
     w, bias = np.zeros((m, classes)), np.full(classes, -3.0)
-    acc, acc_b = np.full_like(w, 1e-8), np.full(classes, 1e-8)
-    for _ in range(steps if m else 0):
-        for c in range(classes):
-            z = np.bincount(owner, w[few, c] * scale, n) + bias[c]
-            err = _sigmoid(z) - y[:, c]
-            g = np.bincount(few, err[owner] * scale, m) / n + l2 * w[:, c]
-            acc[:, c] += g * g
-            w[:, c] -= rate * g / np.sqrt(acc[:, c])
-            gb = err.mean()
-            acc_b[c] += gb * gb
-            bias[c] -= 0.2 * rate * gb / np.sqrt(acc_b[c])
+
+    def fit_class(c: int) -> None:
+        v, b, acc, acc_b = np.zeros(m), -3.0, np.full(m, 1e-8), 1e-8
+        for _ in range(steps):
+            g, gb = np.zeros(m), 0.0
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                f, o = few[begin[i] : begin[j]], owner[begin[i] : begin[j]] - i
+                z = np.bincount(o, v[f], j - i) * scale[i:j] + b
+                err = _sigmoid(z) - y[i:j, c]
+                g += np.bincount(f, (err * scale[i:j])[o], m)
+                gb += err.sum()
+            g = g / n + l2 * v
+            acc += g * g
+            v -= rate * g / np.sqrt(acc)
+            gb /= n
+            acc_b += gb * gb
+            b -= 0.2 * rate * gb / np.sqrt(acc_b)
+        w[:, c], bias[c] = v, b
+
+    if m:  # the classes are fitted apart from each other
+        with ThreadPoolExecutor(THREADS) as pool:
+            list(pool.map(fit_class, range(classes)))
     return slot, w.astype(np.float32), bias
 
 
@@ -264,29 +290,43 @@ def _tongue(lang: str | None) -> str:
     return (lang or "").strip().lower()[:2]
 
 
-def fit_subjects(content: DataFrame, acts: DataFrame, act_sectors: DataFrame, sector_list: DataFrame, documents: DataFrame, labels: DataFrame, subjects: list[str], sector_subject: dict[str, list[str]] | None = None, max_acts: int = MAX_ACTS, max_documents: int = MAX_DOCUMENTS) -> SubjectModel:
-    """A SubjectModel from filed acts and hand-labelled documents (bounded samples of both).
+def _within(sample: DataFrame, texts: DataFrame, key: str, text: str, by: Column, order: list[Column], most: int, chars: int) -> DataFrame:
+    """Rows of a small sample whose texts stay within a number and a sum of characters of their group, by order; lengths alone are shuffled."""
+    size = texts.filter(F.length(text) > 0).groupBy(key).agg(F.max(F.length(text)).alias("size_"))
+    w = Window.partitionBy(by).orderBy(*order)
+    j = sample.join(size, key).withColumn("n_", F.row_number().over(w)).withColumn("sum_", F.sum("size_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return j.filter((F.col("n_") <= most) & (F.col("sum_") <= chars)).drop("n_", "sum_", "size_")
+
+
+def fit_subjects(content: DataFrame, acts: DataFrame, act_sectors: DataFrame, sector_subjects: DataFrame, documents: DataFrame, labels: DataFrame, subjects: list[str], max_acts: int = MAX_ACTS, max_documents: int = MAX_DOCUMENTS, max_chars: int = MAX_FIT_CHARS) -> SubjectModel:
+    """A SubjectModel from filed acts and hand-labelled documents.
 
-    `act_sectors` has (id, val): the single sector names of each act. Half of
-    the labelled documents, by hash of their id, are held out for thresholds.
+    `act_sectors` has (id, val): the single sector names of each act;
+    `sector_subjects` (sector_name, subject): what each name is filed under. The
+    sample is bounded: the acts of each language and the labelled documents, by
+    hash of their ids, up to a number and to `max_chars` characters of text (a
+    longer text is in no sample). Half of the labelled documents are held out
+    for thresholds.
     """
-    spark = content.sparkSession
-    pairs = [(c, s) for s, codes in (sector_subject or SECTOR_SUBJECT).items() for c in codes]
-    names = sector_list.join(F.broadcast(spark.createDataFrame(pairs, "sector_code string, subject string")), "sector_code").select(F.lower("sector_name").alias("name"), "subject")
+    names = sector_subjects.select(F.lower("sector_name").alias("name"), "subject").distinct()
     # an address path such as /tax/123 names a subject as well
     path = acts.select("id", F.explode(F.split(F.lower("url"), "/")).alias("subject")).filter(F.col("subject").isin(subjects))
-    filed = act_sectors.select("id", F.lower("val").alias("name")).join(F.broadcast(names), "name").select("id", "subject").union(path)
-    filed = filed.groupBy("id").agg(F.collect_set("subject").alias("subjects"))
+    filed = act_sectors.select("id", F.lower("val").alias("name")).join(names, "name").select("id", "subject").union(path)
+    filed = filed.filter(F.col("subject").isin(subjects)).groupBy("id").agg(F.collect_set("subject").alias("subjects"))
     spoken = acts.groupBy("id").agg(F.max("lang").alias("lang"))
     tongue = F.substring(F.lower(F.trim(F.coalesce("lang", F.lit("")))), 1, 2)
-    order = Window.partitionBy(tongue).orderBy(F.xxhash64("id"), "id")
-    filed = filed.join(spoken, "id").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max_acts).drop("n")
+    order = [F.xxhash64("id"), F.col("id")]
+    # the number bounds what meets the texts' lengths; the characters bound what is sent to the driver
+    filed = filed.join(spoken, "id").withColumn("n", F.row_number().over(Window.partitionBy(tongue).orderBy(*order))).filter(F.col("n") <= max_acts).drop("n")
     if filed.count() > 40 * max_acts:
         raise ValueError("too many languages to fit on: lower max_acts or map the languages")
-    texts = content.select("id", "content").filter(F.length("content").between(1, MAX_CHARS)).join(F.broadcast(filed), "id").dropDuplicates(["id"]).orderBy("id")
+    filed = _within(filed, content.join(F.broadcast(filed.select("id")), "id", "left_semi"), "id", "content", tongue, order, max_acts, max_chars)
+    texts = content.select("id", "content").filter(F.length("content") > 0).join(F.broadcast(filed), "id").dropDuplicates(["id"]).orderBy("id")
     rows = [(r.content, set(r.subjects), True, _tongue(r.lang)) for r in texts.collect()]
-    hand = labels.filter(F.col("subject").isin(subjects)).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
-    some = documents.select("doc_id", "text", "lang").filter(F.length("text").between(1, MAX_CHARS)).join(F.broadcast(hand), "doc_id").orderBy("doc_id")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    hand = labels.filter(F.col("subject").isin(subjects)).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects")).orderBy(*order).limit(max_documents)
+    hand = _within(hand, documents.join(F.broadcast(hand.select("doc_id")), "doc_id", "left_semi"), "doc_id", "text", F.lit(0), order, max_documents, max_chars)
+    some = documents.select("doc_id", "text", "lang").filter(F.length("text") > 0).join(F.broadcast(hand), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id")
     held: tuple[list[str], list[set[str]]] = ([], [])
     for r in some.collect():
         if int(mix(np.array([r.doc_id * PRIME & ((1 << 64) - 1)], np.uint64))[0]) & 1:

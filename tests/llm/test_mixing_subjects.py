@@ -94,3 +94,26 @@ def test_makeup(spark, rows):
     found = spark.createDataFrame([(1, "tax"), (1, "land")][: rows and 2], "doc_id bigint, subject string")
     got = {(r.subject, r.lang): (r.n_docs, r.n_chars) for r in subjects.corpus_makeup(found, docs).collect()}
     assert got == ({} if not rows else {("tax", "vi"): (1, 3), ("land", "vi"): (1, 3), (None, "vi"): (1, 1), (None, None): (1, 0)})
+
+
+def test_short_runs_belong_to_a_sentence():
+    arr = pa.array(["Hỏi: Một hai ba bốn. Ngắn. Năm sáu bảy tám chín. Hết.", "Chỉ ba từ", "", None, "a. b. một hai ba bốn"])
+    col, at, row = subjects.sentence_features(arr)
+    assert row.tolist() == [0, 0, 1, 4] and len(at) == 5 and at[-1] == len(col)
+    words = [2 * (3 * n - 3) for n in (5, 7, 3, 6)]
+    assert np.diff(at).tolist() == words
+
+
+def test_marginals(spark):
+    rows = [(i, "s" if i % 2 else "t", "vi" if i % 3 else "en", "x", 10, str(i)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, topic string, n_tokens bigint, text_key string")
+    targets = spark.createDataFrame([("s", 0.75, 2), ("t", 0.25, 1), ("u", 0.5, 1)], "source string, target_share double, max_repeats int")
+    got = {(r.dimension, r.value): r for r in mixing.marginals(df, mixing.mix_sources(df, targets)[0], targets).collect()}
+    assert abs(got["source", "s"].wanted - 0.75) < 1e-9 and all(abs(r.wanted - r.reached) < 0.02 for r in got.values()) and len(got) == 5
+
+
+def test_fit_sample_is_bounded_in_characters(spark):
+    sample = spark.createDataFrame([(i, "vi") for i in range(6)], "id bigint, lang string")
+    texts = spark.createDataFrame([(i, "x" * (10 if i else 500)) for i in range(6)], "id bigint, text string")
+    got = subjects._within(sample, texts, "id", "text", pytest.importorskip("pyspark.sql.functions").col("lang"), [pytest.importorskip("pyspark.sql.functions").col("id").desc()], 4, 35).collect()
+    assert {r.id for r in got} == {5, 4, 3}

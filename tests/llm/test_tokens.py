@@ -97,3 +97,21 @@ def test_token_budget(spark, ranks_path):
     assert got[("site_lang", "s", "vi")] == (2, n["một hai"]) and got[("site_lang", None, None)] == (1, n["ba"])
     assert got[("legal_type", "luật", None)] == (2, n["một hai"]) and got[("legal_type", None, None)] == (1, n["ba"])
     assert got[("sector", "a", None)] == got[("sector", "b", None)] == (1, n["một hai"]) and got[("sector", None, None)] == (2, n["ba"])
+
+
+def test_offsets_and_decoding(spark, ranks_path):
+    texts = ["".join(random.Random(i).choices(ODD, k=20)) for i in range(20)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    coded = encode.token_ids(df, "doc_id", "text", offsets=True)
+    back = {v: k for k, v in load_ranks(ranks_path).items()}
+    for r in coded.collect():
+        data, at = (texts[r.doc_id] or "").encode(), [0, *r.ends]
+        assert [data[a:b] for a, b in zip(at, at[1:])] == [back[i] for i in r.ids] and at[-1] == len(data)
+    assert {r.doc_id: r.text for r in encode.decode(coded, "doc_id", "ids").collect()} == {i: t or "" for i, t in enumerate(texts)}
+    assert encode.decode(spark.createDataFrame([(1, None)], "doc_id bigint, ids array<int>"), "doc_id", "ids").first().text == ""
+
+
+def test_exact_counts_beside_the_estimate(spark, ranks_path, reference):
+    df = spark.createDataFrame([(1, "Điều khoản thi hành"), (2, None)], "k bigint, text string")
+    got = {r.k: r for r in budget.estimated_tokens(df, "text", exact="n_exact").collect()}
+    assert got[1].n_exact == len(reference(["Điều khoản thi hành"])[0]) and got[2].n_exact == got[2].n_tokens == 0
