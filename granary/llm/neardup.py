@@ -6,7 +6,7 @@ so equal elements of two documents get equal darts. A document keeps the darts
 up to the rank at which about k (ln k + 2) of them have come, and of each of k
 coordinates the earliest dart. Two documents agree on a coordinate with the
 probability of their Jaccard similarity; bands of coordinates are joined.
-Candidate pairs pass a comparison of one-bit sketches and then an exact one.
+Candidate pairs pass a comparison of two-bit sketches and then an exact one.
 
 Documents with equal sets form a class and only one of them is joined.
 """
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.pretokens import row_slices
@@ -27,8 +27,9 @@ from granary.llm.words import MASK, PRIME, Words, bare_array, mix
 from granary.operators.corpus import latest_of_few
 from granary.session import written
 
-K, BANDS, ROWS = 128, 96, 4
-SKETCH_BITS = 128
+K, BANDS, ROWS = 256, 160, 5
+#: A sketch has the lowest two bits of every coordinate, 32 coordinates to a long.
+SKETCH = [f"s{i}" for i in range(K // 32)]
 CANDIDATE_ROWS = 2_000_000
 
 
@@ -106,21 +107,31 @@ def dart_minhash(elements: np.ndarray, at: np.ndarray, k: int = K, weights: np.n
     return sig
 
 
-_order = np.concatenate([np.random.default_rng(11 + i).permutation(K) for i in range(math.ceil(BANDS * ROWS / K))])[: BANDS * ROWS].reshape(BANDS, ROWS)
+#: Coordinates of each band; no band has one twice.
+_order = np.concatenate([np.random.default_rng(11 + i).permutation(K)[: K // ROWS * ROWS].reshape(-1, ROWS) for i in range(math.ceil(BANDS / (K // ROWS)))])[:BANDS]
 
 
 def bands(sig: np.ndarray) -> np.ndarray:
-    """(rows x BANDS) int64: the band's number above 32 bits of its hash."""
+    """(rows x BANDS) int32: a hash of each band's coordinates."""
     out = np.zeros((len(sig), BANDS), np.uint64)
     for j in range(ROWS):
         out = mix(out + sig[:, _order[:, j]])
-    return ((np.arange(BANDS, dtype=np.uint64) << np.uint64(32)) | (out >> np.uint64(32))).view(np.int64)
+    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def sketches(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    bits = (sig >> np.uint64(40)) & np.uint64(1)
-    shift = np.arange(64, dtype=np.uint64)
-    return ((bits[:, :64] << shift).sum(axis=1, dtype=np.uint64).view(np.int64), (bits[:, 64:128] << shift).sum(axis=1, dtype=np.uint64).view(np.int64))
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """(rows x len(SKETCH)) int64."""
+    two = ((sig >> np.uint64(40)) & np.uint64(3)).reshape(len(sig), len(SKETCH), 32)
+    return (two << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
+def _differing(a: str, b: str) -> Column:
+    """How many coordinates of two sketches differ."""
+    out = F.lit(0)
+    for s in SKETCH:
+        x = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
+        out = out + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return out
 
 
 def _sets(batches: Iterator[pa.RecordBatch], frequent: Frequent, n: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -139,25 +150,24 @@ def _nonblank(content: DataFrame) -> DataFrame:
 
 
 def signatures(content: DataFrame, frequent: Frequent, n: int = 3) -> DataFrame:
-    """(id, set_hash, size, low, high, bands) of the contents that have words."""
+    """(id, set_hash, size, sketch, bands) of the contents that have words."""
     kind = content.schema["id"].dataType.simpleString()
+    pieces = pa.struct([(s, pa.int64()) for s in SKETCH])
 
     def run(batches):
         for ids, e, at in _sets(batches, frequent, n):
-            sig = dart_minhash(e, at)
             size = np.diff(at)
+            i = np.flatnonzero(size > 0)
+            if not len(i):
+                continue
             sums = np.add.reduceat(np.append(mix(e + np.uint64(3)), np.uint64(0)), np.minimum(at[:-1], len(e)))
-            low, high = sketches(sig)
-            b32 = bands(sig)
-            some = pa.array(np.flatnonzero(size > 0))
-            if len(some):
-                i = some.to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(some), pa.array(sums.view(np.int64)[i]), pa.array(size[i].astype(np.int32)), pa.array(low[i]), pa.array(high[i]), pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1, dtype=np.int32) * BANDS), pa.array(b32[i].ravel()))],
-                    ["id", "set_hash", "size", "low", "high", "bands"],
-                )
+            sig = dart_minhash(e, at)[i]
+            sketch = pa.StructArray.from_arrays([pa.array(c) for c in np.ascontiguousarray(sketches(sig).T)], fields=list(pieces))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1, dtype=np.int32) * BANDS), pa.array(bands(sig).ravel()))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), pa.array(sums.view(np.int64)[i]), pa.array(size[i].astype(np.int32)), sketch, lists], ["id", "set_hash", "size", "sketch", "bands"])
 
-    return _nonblank(content).mapInArrow(run, f"id {kind}, set_hash bigint, size int, low bigint, high bigint, bands array<bigint>")
+    parts = ", ".join(f"{s}: bigint" for s in SKETCH)
+    return _nonblank(content).mapInArrow(run, f"id {kind}, set_hash bigint, size int, sketch struct<{parts}>, bands array<int>")
 
 
 def element_sets(content: DataFrame, frequent: Frequent, n: int = 3) -> DataFrame:
@@ -201,15 +211,14 @@ def near_pairs(content: DataFrame, frequent: DataFrame, threshold: float = 0.55,
     classes = written(reps.join(rep_of, ["set_hash", "size"]).select("id", "rep").distinct(), "classes")
     heads = classes.select(F.col("rep").alias("id")).distinct()
     rows = made.join(heads, "id", "left_semi")
-    long = rows.select("id", F.explode("bands").alias("band"))
-    raw = long.alias("x").join(long.alias("y"), "band").filter("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    sketch = rows.select("id", "low", "high", "size")
-    one, two = (sketch.toDF(c, f"low_{c}", f"high_{c}", f"size_{c}") for c in "ab")
-    differ = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b")))
-    # one-bit agreement is (1 + J) / 2; four standard deviations below it
-    p = (1 + threshold) / 2
-    most = SKETCH_BITS * (1 - p) + 4 * math.sqrt(SKETCH_BITS * p * (1 - p))
-    near = raw.join(one, "a").join(two, "b").filter(differ <= most).filter(F.least("size_a", "size_b") >= (threshold - 0.01) * F.greatest("size_a", "size_b"))
+    long = rows.select("id", F.posexplode("bands").alias("no", "hash")).select("id", F.shiftleft(F.col("no").cast("bigint"), 32).bitwiseXOR(F.col("hash").cast("bigint")).alias("band"))
+    # hashed by the lower id once, for the distinct pairs and for the join that follows
+    raw = long.alias("x").join(long.alias("y"), "band").filter("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).repartition("a").distinct()
+    one, two = (rows.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("size").alias(f"size_{c}")) for c in "ab")
+    # two bits agree with the probability J + (1 - J) / 4; four standard deviations below it
+    p = (1 + 3 * threshold) / 4
+    most_differ = K * (1 - p) + 4 * math.sqrt(K * p * (1 - p))
+    near = raw.join(one, "a").join(two, "b").filter(F.least("size_a", "size_b") >= (threshold - 0.01) * F.greatest("size_a", "size_b")).filter(_differing("sketch_a", "sketch_b") <= most_differ)
     near = written(near.select("a", "b"), "candidates")
     wanted = written(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "candidate-ids")
     few = wanted.count() <= CANDIDATE_ROWS
