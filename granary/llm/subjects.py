@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.pretokens import row_slices
 from granary.llm.words import PRIME, Words, mix
+from granary.session import written
 
 DIMENSIONS = 1 << 20
 LEAST_COUNT = 3
@@ -38,7 +39,7 @@ MAX_ACTS, MAX_DOCUMENTS = 400, 2400
 MAX_FIT_CHARS = 1 << 23
 #: More classes make the weights too large for a task; such a list is an error.
 MAX_SUBJECTS = 1000
-THREADS, BLOCK = 4, 1 << 20
+THREADS, BLOCK = 4, 1 << 18
 
 
 def sentence_features(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,6 +116,12 @@ def _scores(col: np.ndarray, at: np.ndarray, slot: np.ndarray, w: np.ndarray, bi
     return _sums(w[few], begin) / np.sqrt(np.maximum(np.diff(begin), 1))[:, None] + bias
 
 
+def _cuts(at: np.ndarray) -> np.ndarray:
+    """Numbers of the sentences between which about BLOCK n-grams stand."""
+    n = len(at) - 1
+    return np.unique(np.concatenate([[0], np.minimum(np.searchsorted(at, np.arange(BLOCK, max(int(at[-1]), 1), BLOCK)), n), [n]]))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -135,13 +142,17 @@ def sentence_labels(col: np.ndarray, at: np.ndarray, allowed: np.ndarray, rounds
     size = np.diff(at)
     with np.errstate(divide="ignore"):
         logged = np.log(prior)
-    blocks = [(i, min(i + 2048, n)) for i in range(0, n, 2048)]
+    cuts = _cuts(at)
+    runs = list(zip(cuts[:-1], cuts[1:]))
+    blocks = [(i, min(i + 512, n)) for i in range(0, n, 512)]
     with ThreadPoolExecutor(THREADS) as pool:
         for _ in range(rounds):
             table, score = np.empty((m, k), np.float32), np.empty((n, k))
 
             def count_class(c: int) -> None:
-                count = np.bincount(col, np.repeat(resp[:, c], size), minlength=m) + alpha
+                count = np.full(m, alpha)
+                for i, j in runs:
+                    count += np.bincount(col[at[i] : at[j]], np.repeat(resp[i:j, c], size[i:j]), minlength=m)
                 table[:, c] = np.log(count / count.sum())
 
             def score_block(span: tuple[int, int]) -> None:
@@ -168,16 +179,17 @@ def fit_linear(col: np.ndarray, at: np.ndarray, y: np.ndarray, steps: int = 60,
     m = int(col.max()) + 1 if len(col) else 1
     size = np.diff(at)
     total = np.bincount(col, minlength=m)
-    per = np.stack([np.bincount(col, np.repeat(y[:, c], size), minlength=m) for c in range(classes)], axis=1)
-    lift = (per + 0.3) / (per.sum(axis=0) + 0.3 * m) / ((total + 1)[:, None] / (total.sum() + m))
-    use = (total >= LEAST_COUNT) & (lift.max(axis=1) > np.exp(telling))
+    lift = np.zeros(m)
+    for c in range(classes):
+        per = np.bincount(col, np.repeat(y[:, c], size), minlength=m)
+        lift = np.maximum(lift, (per + 0.3) / (per.sum() + 0.3 * m) / ((total + 1) / (total.sum() + m)))
+    use = (total >= LEAST_COUNT) & (lift > np.exp(telling))
     slot = np.where(use, np.cumsum(use) - 1, -1).astype(np.int32)
     few, begin = _thin(col, at, slot)
     m = int(use.sum())
     owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(begin))
     scale = (1 / np.sqrt(np.maximum(np.diff(begin), 1))).astype(np.float32)
-    # whole sentences of about BLOCK n-grams each
-    cuts = np.unique(np.append(np.searchsorted(begin, np.arange(0, len(few), BLOCK), "right") - 1, n)) if n else np.zeros(1, int)
+    cuts = _cuts(begin)
     w, bias = np.zeros((m, classes)), np.full(classes, -3.0)
 
     def fit_class(c: int) -> None:
@@ -232,9 +244,11 @@ def train(texts: list[str], labels: list[set[str]], complete: list[bool], langs:
     `complete` says whether a text's labels are all of its subjects; `langs` is
     the language of each, since general language differs by it. Without
     labels or checks the thresholds are 0.5; the model then finds nothing new.
+    `texts` is emptied once it is read.
     """
     index = {s: i for i, s in enumerate(subjects)}
     col, at, row = _all_features(texts)
+    texts.clear()  # the features are all that is needed of them
     slot, w, bias = np.full(DIMENSIONS, -1, np.int32), np.zeros((1, len(subjects)), np.float32), np.full(len(subjects), -3.0)
     thresholds = np.full(len(subjects), 0.5)
     if len(row):
@@ -318,13 +332,15 @@ def fit_subjects(content: DataFrame, acts: DataFrame, act_sectors: DataFrame, se
     order = [F.xxhash64("id"), F.col("id")]
     # the number bounds what meets the texts' lengths; the characters bound what is sent to the driver
     filed = filed.join(spoken, "id").withColumn("n", F.row_number().over(Window.partitionBy(tongue).orderBy(*order))).filter(F.col("n") <= max_acts).drop("n")
+    filed = written(filed, "filed")
     if filed.count() > 40 * max_acts:
         raise ValueError("too many languages to fit on: lower max_acts or map the languages")
-    filed = _within(filed, content.join(F.broadcast(filed.select("id")), "id", "left_semi"), "id", "content", tongue, order, max_acts, max_chars)
+    filed = written(_within(filed, content.join(F.broadcast(filed.select("id")), "id", "left_semi"), "id", "content", tongue, order, max_acts, max_chars), "sample")
     texts = content.select("id", "content").filter(F.length("content") > 0).join(F.broadcast(filed), "id").dropDuplicates(["id"]).orderBy("id")
     rows = [(r.content, set(r.subjects), True, _tongue(r.lang)) for r in texts.collect()]
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     hand = labels.filter(F.col("subject").isin(subjects)).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects")).orderBy(*order).limit(max_documents)
+    hand = written(hand, "labelled")
     hand = _within(hand, documents.join(F.broadcast(hand.select("doc_id")), "doc_id", "left_semi"), "doc_id", "text", F.lit(0), order, max_documents, max_chars)
     some = documents.select("doc_id", "text", "lang").filter(F.length("text") > 0).join(F.broadcast(hand), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id")
     held: tuple[list[str], list[set[str]]] = ([], [])
@@ -334,7 +350,9 @@ def fit_subjects(content: DataFrame, acts: DataFrame, act_sectors: DataFrame, se
             held[1].append(set(r.subjects))
         else:
             rows.append((r.text, set(r.subjects), False, _tongue(r.lang)))
-    return train(*([r[i] for r in rows] for i in range(4)), held, subjects)
+    texts, *rest = ([r[i] for r in rows] for i in range(4))
+    rows.clear()
+    return train(texts, *rest, held, subjects)
 
 
 def subject_areas(documents: DataFrame, model: SubjectModel) -> DataFrame:
