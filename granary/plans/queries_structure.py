@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from granary.operators import audit, chunking, corpus, hierarchy, qa, retrieval
 from granary.plans import sql as S
 from granary.plans.queries_corpus import CHUNKS, CONTENT, META, _chunks, _meta
 from granary.plans.queries_retrieval import TITLES, _titles
-from granary.session import shared_dir, table, written
+from granary.session import scratch_path, table, written
 from granary.streaming import incremental
 
 
@@ -83,12 +82,12 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Document rows read as a stream, one per text, written incrementally and read back."""
     path = os.path.join(d, "documents.parquet")
     schema = spark.read.parquet(path).schema
-    out = f"{shared_dir(spark)}/granary-stream-{uuid.uuid4().hex[:12]}"
+    out, state = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
     folder = path if os.path.isdir(path) else d
     src = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet" if os.path.isdir(path) else "documents.parquet").parquet(folder)
-    q = incremental.ingest(src, out, out + "-state", "doc_id", lambda df: df.select("doc_id", "source", "n_chars"), order="n_chars")
+    q = incremental.ingest(src, out, state, "doc_id", lambda df: df.select("doc_id", "source", "n_chars"), order="n_chars")
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("run", "batch")
 
 
 QUERIES = {f.__name__: f for f in (tree_nodes_parsed, tree_blocks_parsed, tree_audit, tree_chunks, marked_pieces, sentence_pack, chunk_retrieval, qa_contexts, answer_validate, stream_ingest)}

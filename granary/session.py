@@ -53,6 +53,15 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _scratch[0]
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, deleted by `release`."""
+    if not _tables:
+        atexit.register(release)
+    path = f"{shared_dir(spark)}/granary-{name}-{uuid.uuid4().hex[:12]}"
+    _tables.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written as parquet to the shared folder and read back.
 
@@ -60,10 +69,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     feeds more than one later stage and is dearer to recompute than to store.
     """
     spark = df.sparkSession
-    if not _tables:
-        atexit.register(release)
-    path = f"{shared_dir(spark)}/granary-{name}-{uuid.uuid4().hex[:12]}"
-    _tables.append((spark, path))
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.sources.writers import resume
+from granary.sources.writers import exists
 
 
 def file_stream(spark: SparkSession, path: str, schema, max_files: int = 64) -> DataFrame:
@@ -18,17 +19,24 @@ def file_stream(spark: SparkSession, path: str, schema, max_files: int = 64) ->
 def ingest(stream: DataFrame, out: str, checkpoint: str, key: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df, order: str | None = None):
     """Writes each batch's new keys to `out` and stops when the files are read; returns the query.
 
-    Within a batch the row with the greatest `order` stays for a key. Keys that
-    are already in `out` are left out, so a batch that runs again adds nothing.
+    Within a batch the row with the greatest `order` stays for a key, a null key
+    counting as one. A batch owns a folder by its checkpoint and number and
+    overwrites it, so a batch that runs again changes nothing; keys that other
+    batches wrote are left out, for which only their key column is read.
     """
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, epoch: int) -> None:
         made = transform(batch)
         if order:
-            made = made.groupBy(key).agg(F.max_by(F.struct(*made.columns), F.struct(order)).alias("r")).select("r.*")
+            made = made.groupBy(key).agg(F.max_by(F.struct(*made.columns), F.struct(order, F.xxhash64(*made.columns))).alias("r")).select("r.*")
         else:
             made = made.dropDuplicates([key])
-        resume(made, out, key).write.mode("append").parquet(out)
+        spark = batch.sparkSession
+        if exists(spark, out):
+            done = spark.read.parquet(out).filter((F.col("run") != run) | (F.col("batch") < epoch)).select(F.col(key).alias("done_")).distinct()
+            made = made.join(done, F.col(key).eqNullSafe(F.col("done_")), "left_anti")
+        made.write.mode("overwrite").parquet(f"{out}/run={run}/batch={epoch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
