@@ -190,7 +190,7 @@ def _document_frequencies(index: DataFrame, block, size: int) -> tuple[np.ndarra
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2])), pa.array(np.append(total[some], [docs, words]))], ["term", "n"])
 
-    got = {r.term: r.n for r in spread(index.select("t")).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    got = {r.term: r.n for r in index.select("t").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n_docs, words = got.pop(-1, 0), got.pop(-2, 0)
     df = np.zeros(size, np.int64)
     df[list(got)] = list(got.values())
@@ -209,7 +209,7 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b:
     """
     spark = docs.sparkSession
     plain_unions(spark)
-    index = tokens(docs) if index is None else index
+    index = tokens(spread(docs.select("id", "text"))) if index is None else spread(index)
     id_kind, q_kind = index.schema["id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
     asked = queries.select("qid", terms("text").alias("t")).filter(F.size("t") > 0).groupBy("qid").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("t"))
     parts = max(1, -(-(asked.agg(F.sum(F.size("t"))).first()[0] or 0) // QUERY_TERMS))
@@ -255,6 +255,6 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b:
             if best:
                 yield from best.rows(q.qids)
 
-        hits = spread(index.select("id", "t")).mapInArrow(run, f"qid {q_kind}, id {id_kind}, score double")
+        hits = index.select("id", "t").mapInArrow(run, f"qid {q_kind}, id {id_kind}, score double")
         out = hits if out is None else out.unionByName(hits)
     return top_k(spark.createDataFrame([], f"qid {q_kind}, id {id_kind}, score double") if out is None else out, k)

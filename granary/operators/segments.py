@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.text import squeeze
+from granary.functions.text import let, squeeze
+from granary.session import spread
 
 PER_WORD = 1.35
 #: A line that opens an article, markup before it set aside.
@@ -19,27 +20,30 @@ def word_windows(df: DataFrame, key: str, text: str, max_tokens: int, overlap_to
     """
     size, back = max(1, int(max_tokens / PER_WORD)), max(0, int(overlap_tokens / PER_WORD))
     step = max(1, size - back)
-    w = df.select(key, F.split(squeeze(text), " ").alias("w")).filter("w[0] <> ''")
-    n = F.when(F.size("w") <= size, F.lit(0)).otherwise(F.ceil((F.size("w") - size) / step).cast("int"))
+
+    def windows(w: Column) -> Column:
+        n = F.when(F.size(w) <= size, F.lit(0)).otherwise(F.ceil((F.size(w) - size) / step).cast("int"))
+        return F.transform(F.sequence(F.lit(0), n), lambda i: F.slice(w, i * step + 1, F.lit(size)))
+
     # windows are made before they become rows, so that no row carries the words of all
-    parts = F.transform(F.sequence(F.lit(0), n), lambda i: F.slice("w", i * step + 1, F.lit(size)))
-    s = w.select(key, F.posexplode(parts).alias("i", "part"))
+    parts = let(F.split(squeeze(text), " "), windows)
+    s = spread(df.select(key, text)).filter(squeeze(text) != "").select(key, F.posexplode(parts).alias("i", "part"))
     return s.select(key, (F.col("i") + 1).cast("int").alias("piece_no"), F.array_join("part", " ").alias("piece"), F.size("part").alias("n_words"))
 
 
 def heading_segments(df: DataFrame, key: str, text: str, heading: str = HEADING) -> DataFrame:
     """(key, segment_no, heading, article_no, segment): the text cut before each heading line; segment 0 is what comes first.
 
-    Works within each row: no shuffle, and no window over the lines of one very
-    long document. Blank segments are left out; null texts have none.
+    Works within each row, without a window over the lines of one very long
+    document. Blank segments are left out; null texts have none.
     """
     lines = F.split(F.col(text), "\n")
     # one scan: a mark before every heading line, then a split at the marks
     marked = F.array_join(F.transform(lines, lambda x: F.when(x.rlike(heading), F.concat(F.lit("\x00"), x)).otherwise(x)), "\n")
     parts = F.split(marked, "\x00")
     # each part but the last ends with the line end before the next mark
-    bare = F.transform(parts, lambda x, i: F.when((i < F.size(parts) - 1) & F.endswith(x, F.lit("\n")), F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(x))
-    w = df.filter(F.col(text).isNotNull()).select(key, F.posexplode(bare).alias("segment_no", "segment"))
+    bare = let(parts, lambda ps: F.transform(ps, lambda x, i: F.when((i < F.size(ps) - 1) & F.endswith(x, F.lit("\n")), F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(x)))
+    w = spread(df.select(key, text).filter(F.col(text).isNotNull())).select(key, F.posexplode(bare).alias("segment_no", "segment"))
     head = F.when(F.col("segment_no") > 0, squeeze(F.split_part("segment", F.lit("\n"), F.lit(1)))).otherwise(F.lit(""))
     return w.filter(squeeze("segment") != "").select(key, F.col("segment_no").cast("int").alias("segment_no"), head.alias("heading"), F.regexp_extract(head, r"((?:Điều|Article)\s+\d+[A-Za-z]?)", 1).alias("article_no"), "segment")
 

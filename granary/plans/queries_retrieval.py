@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions.text import terms
 from granary.operators import fusion, retrieval
 from granary.plans import sql as S
-from granary.session import table, written
+from granary.session import spread, table, written
 
 EVERY = 50
 
@@ -94,7 +94,7 @@ def multi_query_rrf(spark: SparkSession, d: str) -> DataFrame:
     docs, q = _texts(spark, d)[0], _titles(spark, d).select("qid", terms("text").alias("t"))
     half = F.ceil(F.size("t") / 2).cast("int")
     parts = q.select("qid", F.array_join(F.slice("t", F.lit(1), half), " ").alias("a"), F.array_join(F.slice("t", half + 1, F.greatest(F.size("t"), F.lit(1))), " ").alias("b"))
-    index = written(retrieval.tokens(docs), "terms")
+    index = written(retrieval.tokens(spread(docs)), "terms")
     lists = {n: retrieval.bm25_top_k(docs, parts.select("qid", F.col(n).alias("text")), 20, index=index) for n in ("a", "b")}
     return fusion.rrf(lists, 10)
 

@@ -78,9 +78,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows of a small input dealt out to all cores, for work that is dear per row.
 
     A file with one row group is read by one task however many cores there are.
-    Inputs of SPREAD_BYTES and more have row groups enough and are not shuffled.
+    Inputs whose tables have SPREAD_BYTES and more are read by many tasks and not
+    shuffled.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BYTES else df
 
 
