@@ -109,8 +109,7 @@ def split_text(text: str, budget: int, overlap: int = 0, count: Count = estimate
     """A text by sentences, long ones by words, under the budget.
 
     With an overlap a window starts with the last sentences of the one before,
-    or with the last words of its last sentence if that is longer. Without one,
-    a long sentence among others stays whole.
+    or with the last words of its last sentence if that is longer.
     """
     text = squeeze(text)
     if not text or count(text) <= budget:
@@ -121,11 +120,9 @@ def split_text(text: str, budget: int, overlap: int = 0, count: Count = estimate
     if len(parts) < 2:
         return word_windows(text, budget, overlap, count)
     overlap = max(0, min(overlap, budget - 1))
-    if not overlap:
-        return windows(parts, budget, 0, count, lambda _: [], lambda p: [p])
 
     def lead(ps: list[str]) -> list[str]:
-        return summed_ending(ps, overlap, count) or word_windows(ps[-1], overlap, 0, count)[-1:] if ps else []
+        return summed_ending(ps, overlap, count) or word_windows(ps[-1], overlap, 0, count)[-1:] if overlap else []
 
     return windows(parts, budget, overlap, count, lead, lambda p: word_windows(p, budget, overlap, count))
 
