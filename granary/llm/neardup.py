@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.pretokens import row_slices
-from granary.llm.sitelines import BROADCAST_ROWS, Frequent, with_drops
+from granary.llm.sitelines import BROADCAST_ROWS, WITH_TEXT, Frequent, with_drops
 from granary.llm.words import MASK, PRIME, Words, bare_array, mix
 from granary.operators.corpus import latest_of_few
 from granary.session import written
@@ -85,13 +85,13 @@ def dart_minhash(elements: np.ndarray, at: np.ndarray, k: int = K, weights: np.n
         while len(e):
             h = mix(e + np.uint64(step * PRIME & MASK))
             rank = rank - np.log(_uniform(h))
-            live = rank <= lim
-            e, row, lim, rank, h = e[live], row[live], lim[live], rank[live], h[live]
+            live = np.flatnonzero(rank <= lim)
+            e, row, lim, rank, h = (x.take(live) for x in (e, row, lim, rank, h))
             dart = mix(h ^ np.uint64(0xD1B54A32D192ED03))
             if weight is None:
                 found.append((row, rank, dart))
             else:
-                weight = weight[live]
+                weight = weight.take(live)
                 low = _uniform(mix(h + np.uint64(7))) < weight
                 found.append((row[low], rank[low], dart[low]))
             step += 1
@@ -146,7 +146,7 @@ def _sets(batches: Iterator[pa.RecordBatch], frequent: Frequent, n: int) -> Iter
 
 
 def _nonblank(content: DataFrame) -> DataFrame:
-    return content.select("id", "source_site", "content", "drop").filter("id is not null and trim(translate(content, '\\r\\n\\t', '   ')) <> ''")
+    return content.select("id", "source_site", "content", "drop").filter(WITH_TEXT)
 
 
 def signatures(content: DataFrame, frequent: Frequent, n: int = 3) -> DataFrame:
@@ -209,8 +209,9 @@ def near_pairs(content: DataFrame, frequent: DataFrame, threshold: float = 0.55,
     reps = made.select("set_hash", "size", "id")
     rep_of = reps.groupBy("set_hash", "size").agg(F.min("id").alias("rep"))
     classes = written(reps.join(rep_of, ["set_hash", "size"]).select("id", "rep").distinct(), "classes")
-    heads = classes.select(F.col("rep").alias("id")).distinct()
-    rows = made.join(heads, "id", "left_semi")
+    # the wide rows of the reps stay where they are: the others are few as a rule
+    others = classes.filter("id <> rep").select("id")
+    rows = made.join(F.broadcast(others) if others.count() <= CANDIDATE_ROWS else others, "id", "left_anti")
     long = rows.select("id", F.posexplode("bands").alias("no", "hash")).select("id", F.shiftleft(F.col("no").cast("bigint"), 32).bitwiseXOR(F.col("hash").cast("bigint")).alias("band"))
     # hashed by the lower id once, for the distinct pairs and for the join that follows
     raw = long.alias("x").join(long.alias("y"), "band").filter("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).repartition("a").distinct()

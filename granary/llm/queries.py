@@ -19,10 +19,12 @@ def sector_names(spark: SparkSession, d: str) -> list[str]:
     return [r.sector_name for r in table(spark, d, "sector_list").select("sector_name").limit(100_001).collect()]
 
 
+def _act_fields(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "doc_metadata").select(F.explode(F.array("issuing_authority", "legal_type", "document_number", "title")).alias("text"))
+
+
 def _site_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    acts = table(spark, d, "doc_metadata")
-    own = acts.select(F.explode(F.array("issuing_authority", "legal_type", "document_number", "title")).alias("text"))
-    return sitelines.site_lines(_content(spark, d), fields=own)
+    return sitelines.site_lines(_content(spark, d), fields=_act_fields(spark, d))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,12 +47,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).select("item_kind", "item_key").distinct()
 
 
+def _near_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.near_pairs(_content(spark, d), sitelines.site_keys(_content(spark, d), fields=_act_fields(spark, d)))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.id_pairs(*neardup.near_pairs(_content(spark, d), _site_lines(spark, d)[1]))
+    return neardup.id_pairs(*_near_pairs(spark, d))
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.near_groups(*neardup.near_pairs(_content(spark, d), _site_lines(spark, d)[1]))
+    return neardup.near_groups(*_near_pairs(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -28,6 +28,8 @@ BROADCAST_ROWS = 200_000
 SALTS = 32
 NUMBER, NAME, DOCUMENT = np.uint64(0x6E756D62), np.uint64(0x6E616D65), 0
 STEP = np.uint64(PRIME ^ 0x5A5A5A5A5A5A)
+#: Rows with an id and a sign that is not blank. The trim ends at the first such sign, whatever the length of the text.
+WITH_TEXT = "id is not null and trim(leading ' \\r\\n\\t' from content) <> ''"
 
 
 class LineKeys:
@@ -83,7 +85,7 @@ def line_keys(content: DataFrame) -> DataFrame:
                     ["id", "site", "line_no", "key", "label"],
                 )
 
-    some = content.select("id", F.col("source_site").cast("string"), F.col("content").cast("string")).filter("id is not null and trim(translate(content, '\\r\\n\\t', '   ')) <> ''")
+    some = content.select("id", F.col("source_site").cast("string"), F.col("content").cast("string")).filter(WITH_TEXT)
     return some.mapInArrow(run, f"id {kind}, site string, line_no int, key bigint, label bigint")
 
 
@@ -155,6 +157,11 @@ def site_lines(content: DataFrame, share: float = SHARE, least: int = LEAST, fie
     return _lines_with(lines, frequent, is_small(frequent, most)), frequent
 
 
+def site_keys(content: DataFrame, share: float = SHARE, least: int = LEAST, fields: DataFrame | None = None) -> DataFrame:
+    """The frequent (site, key) of `site_lines` alone; the lines, which feed only the counts, are not stored."""
+    return written(frequent_keys(line_keys(content), share, least, fields), "site-keys")
+
+
 class Frequent:
     """Which lines of a batch are a site's own: by sorted keys of each site, or by each row's list of lines."""
 

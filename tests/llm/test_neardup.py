@@ -3,8 +3,10 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from granary import session
 from granary.llm import neardup as N
-from granary.llm.sitelines import site_lines
+from granary.llm import queries
+from granary.llm.sitelines import Frequent, line_keys, site_keys, site_lines, with_drops
 from granary.llm.words import Words
 
 SCHEMA = "id bigint, source_site string, content string"
@@ -119,3 +121,37 @@ def test_many_frequent_lines_give_the_same(spark):
 def test_empty(spark):
     classes, pairs = N.near_pairs(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "site string, key bigint"))
     assert classes.count() == pairs.count() == 0
+
+
+def test_blank_texts_are_known_by_their_first_sign(spark):
+    blank, filled = ["", " ", "\r\n\t ", "\n" * 5000], ["x", " \t\r\nx", "x" + " " * 5000, "\xa0", "\u3000", "\x0b", "\ufeff", "\\r\\n", "r", "n", "t", "\r ế \n"]
+    df = spark.createDataFrame([(i, "a", t) for i, t in enumerate([*blank, *filled, None])] + [(None, "a", "x")], SCHEMA)
+    old = {r.id for r in df.filter("id is not null and trim(translate(content, '\\r\\n\\t', '   ')) <> ''").collect()}
+    content, keys = with_drops(df, spark.createDataFrame([], "site string, key bigint"))
+    assert {r.id for r in N._nonblank(content).collect()} == old == set(range(len(blank), len(blank) + len(filled)))
+    for made in (line_keys(df), N.signatures(content, keys), N.element_sets(content, Frequent([]))):
+        assert "translate(" not in made._jdf.queryExecution().toString()
+
+
+def test_lines_are_not_stored_for_pairs(spark, tables, monkeypatch):
+    stored, path = [], session.scratch_path
+    monkeypatch.setattr(session, "scratch_path", lambda s, name: stored.append(name) or path(s, name))
+    pairs = queries.p3_found(spark, tables)
+    assert pairs.count() > 0 and "site-keys" in stored and "line-keys" not in stored
+    own = queries._act_fields(spark, tables)
+    content = queries._content(spark, tables)
+    assert {tuple(r) for r in site_keys(content, fields=own).collect()} == {tuple(r) for r in site_lines(content, fields=own)[1].collect()}
+
+
+def test_many_copies_and_candidates_give_the_same(spark, monkeypatch):
+    rows = build(random.Random(5))
+    df = spark.createDataFrame(rows + [(1000 + i, s, t) for i, s, t in rows[::3]], SCHEMA)
+    none = spark.createDataFrame([], "site string, key bigint")
+    got = []
+    for most in (N.CANDIDATE_ROWS, 0):
+        monkeypatch.setattr(N, "CANDIDATE_ROWS", most)
+        classes, pairs = N.near_pairs(df, none)
+        got.append(({tuple(r) for r in classes.collect()}, {tuple(r) for r in pairs.collect()}))
+    assert got[0] == got[1] and got[0][1]
+    reps = {r for _, r in got[0][0]}
+    assert len(reps) < len(got[0][0]) and all(a in reps and b in reps for a, b, _ in got[0][1])
